@@ -6,12 +6,13 @@
    id, never with all others, so a bucket gives as many pairs as it has members.
 3. Signatures of a pair are compared batch by batch. After each batch the posterior probability that the
    similarity reaches the limit, given the agreements so far, decides: below `miss` the pair is dropped.
-4. Survivors are verified on the full shingle sets, made again from the whole texts: first the likeliest pair of
-   each class, then, after components are known, only pairs whose ends are still apart.
-5. Buckets whose members are still in different components give the pairs between those components, so that
-   no link is lost behind the smallest id. A bucket in which such pairs would grow with its square is split by a
-   second and a third shared band first (two texts over the limit share 12 of 48 bands on average); what is
-   still together then is paired completely.
+4. Survivors are verified on the full shingle sets, made again from the whole texts: first each class with the
+   smallest id that it shares most buckets with; then, of the other pairs, those whose ends are still apart.
+5. Buckets whose members are still in different components are compared in blocks of members: signatures go to a
+   block once, only survivors of the sequential test leave it, and these are verified too. So no link is lost
+   behind the smallest id, and no pairs are written out. A bucket too large for that is split by a second and
+   a third shared band first (two texts at the limit share 12 of 48 bands on average); what is still together
+   then is compared in blocks completely.
 
 A third of all rows may be in one group: members meet their bucket's smallest id through written tables whose
 joins can be split, and the text of a hot id is sent once for every VERIFY_BLOCK partners.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from bitweft.llm.arrow import as_bytes, map_rows, slices
 from bitweft.llm.graph import components
-from bitweft.session import Workspace, pick, small, table, without
+from bitweft.session import BROADCAST_IDS, Workspace, pick, table, without
 
 #: Bands and rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8**6)**48 < 5e-7.
 BANDS, ROWS = 48, 6
@@ -45,8 +46,8 @@ BATCH = 36
 MISS = 1e-7
 #: Partners that one copy of a text is compared with.
 VERIFY_BLOCK = 128
-#: A bucket's pairs between components are made at once up to this many per member.
-LINEAR = 64
+#: Members of a bucket in a block; larger buckets than SPLIT members apart are split by further bands first.
+BLOCK, SPLIT = 512, 2048
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -137,6 +138,19 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return map_rows(docs, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, sig binary, keys array<long>", "text", make)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the signature matrices a, b that pass every step, and their agreements."""
+    alive, m, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+    for n, least in steps:
+        m[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
+        alive, done = alive[m[alive] >= least], n
+    return alive, m[alive]
+
+
 def likely(pairs: DataFrame, limit: float, miss: float) -> DataFrame:
     """Sequential verification of (p, id, sp, si): p, id, m of the pairs that stay possible."""
     steps = least_agreements(limit, miss)
@@ -145,25 +159,68 @@ def likely(pairs: DataFrame, limit: float, miss: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sp", "si"))
-            alive, m, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in steps:
-                m[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
-                alive, done = alive[m[alive] >= least], n
+            alive, m = _agreeing(_matrix(batch.column("sp")), _matrix(batch.column("si")), steps)
             rows = pa.array(alive)
-            yield pa.record_batch({"p": batch.column("p").take(rows), "id": batch.column("id").take(rows), "m": pa.array(m[alive], pa.int64())})
+            yield pa.record_batch({"p": batch.column("p").take(rows), "id": batch.column("id").take(rows), "m": pa.array(m, pa.int64())})
 
     kind = pairs.schema["id"].dataType.simpleString()
     return pairs.select("p", "id", "sp", "si").mapInArrow(run, f"p {kind}, id {kind}, m long")
 
 
+def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
+    """rows(key, a, b, side, id, n, comp, sig): p, id of pairs of a block's sides 0 and 1 that pass the test.
+
+    Rows come sorted by (key, a, b, side); a block's rows are few (at most BLOCK members a side on average)."""
+    steps = least_agreements(limit, miss)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def compare(block: list) -> tuple[list, list]:
+        side = np.array([r[0] for r in block])
+        ids, n, comp = (np.array([r[k] for r in block]) for k in (1, 2, 3))
+        sig = np.frombuffer(b"".join(r[4] for r in block), np.uint8).reshape(len(block), -1)
+        ones = np.flatnonzero(side == 1)
+        left, right = [], []
+        for x in np.flatnonzero(side == 0):
+            y = ones[(comp[ones] != comp[x]) & (np.minimum(n[ones], n[x]) >= limit * np.maximum(n[ones], n[x]) - 1e-6)]
+            if len(y):
+                y = y[(sig[y, : steps[0][0]] == sig[x, : steps[0][0]]).sum(axis=1) >= steps[0][1]]
+            if len(y):
+                hit, _ = _agreeing(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], steps)
+                left += np.minimum(ids[y[hit]], ids[x]).tolist()
+                right += np.maximum(ids[y[hit]], ids[x]).tolist()
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, []
+
+        def done():
+            left, right = compare(block) if block else ([], [])
+            return pa.record_batch({"p": pa.array(left, kind_), "id": pa.array(right, kind_)})
+
+        kind_ = pa.int64()
+        for batch in batches:
+            kind_ = batch.schema.field("id").type
+            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "side", "id", "n", "comp", "sig"))):
+                if key != (k, a, b):
+                    if block:
+                        yield done()
+                    key, block = (k, a, b), []
+                block.append(row)
+        if block:
+            yield done()
+
+    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+    return rows.select("key", "a", "b", "side", "id", "n", "comp", "sig").mapInArrow(run, f"p {kind}, id {kind}")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs(p, id) with 100 * intersection >= percent * union on the full sets of docs(id, text)."""
     blocks = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).cast("int").alias("blocks"))
     members = pairs.join(blocks, "p").select(F.col("id").alias("who"), "p", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("part"))
     heads = blocks.select(F.col("p").alias("who"), "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("part"))
     wanted = members.unionByName(heads)
-    text = docs.join(small(wanted), F.col("id") == F.col("who")).select("p", "block", "part", "id", "text")
+    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_IDS else wanted.hint("merge")
+    text = docs.join(wanted, F.col("id") == F.col("who")).select("p", "block", "part", "id", "text")
     text = text.repartition("p", "block").sortWithinPartitions("p", "block", "part")
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -211,66 +268,75 @@ class NearDuplicates:
         # Rows of one id that fall into several classes join these.
         shared = sets.join(self.classes, "digest").select("id", "rep").distinct()
         spread = shared.groupBy("id").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        self.links = [ws.put(shared.join(spread, "id").where("rep <> u").select("u", F.col("rep").alias("v")), "links")]
+        self.links = ws.put(shared.join(spread, "id").where("rep <> u").select("u", F.col("rep").alias("v")), "links")
+        self.comps = None
 
         each = self.reps.select("id", "n", F.explode("keys").alias("key"))
         buckets = ws.put(each.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p <> last").select("key", "p"), "buckets")
         inside = ws.put(each.join(buckets, "key").select("key", "id", "n", "p"), "inside")
-        self.comps = None
-        self.link(inside.where("p <> id").select("p", "id").distinct())
-        rest = inside.where("p <> id").select("key", F.col("key").alias("last"), "id", "n")
-        self.cross(rest, 1)
+        ws.drop(buckets)
+        pairs = ws.put(inside.where("p <> id").groupBy("p", "id").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+        best = pairs.groupBy("id").agg(F.max_by("p", F.struct("shared", -F.col("p"))).alias("p")).select("p", "id")
+        self.verify(self.tested(ws.put(best, "best")))
+        rest = self.apart(pairs)
+        if rest is not None:
+            alive = self.tested(rest)
+            # one pair for each two components first, then what is still apart
+            nearest = self.labelled(self.labelled(alive, "p", "cp"), "id", "ci").groupBy("cp", "ci").agg(F.max_by(F.struct("p", "id"), F.struct("m", "p", "id")).alias("x")).select("x.p", "x.id")
+            self.verify(ws.put(nearest, "nearest"))
+            rest = self.apart(alive)
+            if rest is not None:
+                self.verify(rest)
+        self.cross(inside.where("p <> id").select("key", F.col("key").alias("last"), "id", "n"), 1)
         return self.members, self.comps
 
     def labelled(self, df: DataFrame, column: str, out: str) -> DataFrame:
-        if self.comps is None:
-            return df.withColumn(out, F.col(column))
         c = self.comps.select(F.col("id").alias("__n"), F.col("comp").alias("__c"))
+        c = F.broadcast(c) if self.linked <= BROADCAST_IDS else c
         return df.join(c, F.col(column) == F.col("__n"), "left").withColumn(out, F.coalesce("__c", F.col(column))).drop("__n", "__c")
 
-    def add(self, pairs: DataFrame) -> None:
-        """Verify pairs(p, id) exactly, keep the links and bring components up to date."""
-        found = self.ws.put(verified(self.docs, pairs, self.k, self.percent).distinct(), "links")
-        if found.limit(1).count() or self.comps is None:
-            self.links.append(found)
-            edges = self.links[0]
-            for x in self.links[1:]:
-                edges = edges.unionByName(x)
-            self.comps = components(self.ws, edges)
-            # only the components matter from here on
-            self.links = [self.ws.put(self.comps.where("id <> comp").select(F.col("comp").alias("u"), F.col("id").alias("v")), "links")]
+    def apart(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of pairs(p, id) whose ends are in different components; None if there are none."""
+        out = self.ws.put(self.labelled(self.labelled(pairs, "p", "cp"), "id", "ci").where("cp <> ci").select("p", "id"), "apart")
+        return out if out.count() else None
 
-    def link(self, pairs: DataFrame) -> None:
-        """Sequential, then exact verification of pairs(p, id)."""
+    def tested(self, pairs: DataFrame) -> DataFrame:
+        """The sequential test of pairs(p, id): p, id, m of those that stay possible."""
         r = self.reps
         both = pairs.join(r.select("id", F.col("n").alias("ni"), F.col("sig").alias("si")), "id").join(r.select(F.col("id").alias("p"), F.col("n").alias("np"), F.col("sig").alias("sp")), "p")
         both = both.where(F.least("ni", "np") * 100 >= F.greatest("ni", "np") * self.percent)
-        alive = self.ws.put(likely(both, self.percent / 100, self.miss).groupBy("p", "id").agg(F.max("m").alias("m")), "alive")
-        best = self.ws.put(alive.groupBy("id").agg(F.max_by("p", F.struct("m", -F.col("p"))).alias("p")).select("p", "id"), "best")
-        self.add(best)
-        rest = self.labelled(self.labelled(alive, "p", "cp"), "id", "ci").where("cp <> ci").select("p", "id")
-        rest = self.ws.put(rest.join(best, ["p", "id"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            self.add(rest)
+        return self.ws.put(likely(both, self.percent / 100, self.miss).groupBy("p", "id").agg(F.max("m").alias("m")), "alive")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verify pairs(p, id) exactly and bring the components up to date with the links found."""
+        found = self.ws.put(verified(self.docs, pairs.select("p", "id"), self.k, self.percent), "links")
+        if self.comps is None or found.count():
+            edges = self.links.unionByName(found)
+            self.comps = components(self.ws, edges)
+            self.linked = self.comps.count()
+            self.links = self.comps.where("id <> comp").select(F.col("comp").alias("u"), F.col("id").alias("v"))
 
     def cross(self, rows: DataFrame, depth: int) -> None:
-        """rows(key, last, id, n): pairs of different components within a bucket."""
+        """rows(key, last, id, n): find links between members of a bucket that are in different components."""
         ws = self.ws
         rows = self.labelled(rows, "id", "comp")
         share = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        stat = share.groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        stat = ws.put(stat.select("key", "k", "main", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("between")), "mixed")
-        if not stat.limit(1).count():
+        stat = share.groupBy("key").agg(F.sum("c").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        stat = ws.put(stat.select("key", "k", "main", (F.col("k") - F.col("most")).alias("others")), "mixed")
+        if not stat.count():
             return
         mixed = ws.put(rows.join(stat, "key"), "members")
-        plain = (F.col("between") <= LINEAR * F.col("k")) | F.lit(depth >= 3)
-        some = mixed.where(plain)
-        others = some.where("comp <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        pairs = others.join(some.select("key", "id", "n", "comp", "main"), "key").where((F.col("ca") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id"))))
-        pairs = pairs.where(F.least("na", "n") * 100 >= F.greatest("na", "n") * self.percent)
-        pairs = ws.put(pairs.select(F.least("a", "id").alias("p"), F.greatest("a", "id").alias("id")).distinct(), "pairs")
-        if pairs.limit(1).count():
-            self.link(pairs)
+        plain = (F.col("others") <= SPLIT) | F.lit(depth >= 3)
+        # Members outside the largest component form blocks on side 0; all members form blocks on side 1.
+        some = mixed.where(plain).withColumn("na", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int"))
+        place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        zero = some.where("comp <> main").select("key", place("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "id", "n", "comp")
+        one = some.select("key", every("na").alias("a"), place("nb").alias("b"), F.lit(1).alias("side"), "id", "n", "comp")
+        sides = zero.unionByName(one).join(self.reps.select("id", "sig", F.col("n").alias("__n")).dropDuplicates(["id", "__n"]), "id").where("n = __n")
+        pairs = ws.put(likely_in_blocks(sides, self.percent / 100, self.miss).distinct(), "alive")
+        if pairs.count():
+            self.verify(pairs)
         if depth < 3:
             hot = mixed.where(~plain).select("key", "last", "id", "n")
             if hot.limit(1).count():

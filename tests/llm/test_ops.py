@@ -243,6 +243,29 @@ def test_near_dedup_groups(spark):
     assert got == sorted(brute_components(rows, 4, 80))
 
 
+def test_components_both_ways(spark):
+    from bitweft.llm.graph import components
+    from bitweft.session import Workspace
+
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    one, rounds = (sorted(map(tuple, components(Workspace(spark, "test"), df, n).collect())) for n in (10**6, 0))
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert one == rounds == sorted(root.items())
+
+
+def test_near_hot_buckets(spark, monkeypatch):
+    """Small blocks and an early split give the same result."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SPLIT", 4)
+    test_near_dedup_groups(spark)
+
+
 def test_near_edges(spark, odd):
     df, texts = odd
     rows = near_dedup.verdicts(df, k=5).collect()
