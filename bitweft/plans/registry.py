@@ -1,6 +1,6 @@
-"""Queries by name and the SQL that states their results."""
+"""All queries of the library and the SQL that states their results."""
 
-FLAGSHIP = "lang_id_static"
+from bitweft.plans import coding, models, scoring, texts  # noqa: F401  registers
+from bitweft.plans.base import ORACLES, QUERIES  # noqa: F401
 
-QUERIES = {}
-ORACLES = {}
+FLAGSHIP = "lang_id_static"
