@@ -168,20 +168,25 @@ def likely(pairs: DataFrame, limit: float, miss: float) -> DataFrame:
 
 
 def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
-    """rows(key, a, b, side, id, n, comp, sig): p, id of pairs of a block's sides 0 and 1 that pass the test.
+    """rows(key, a, b, side, id, n, comp, sig, keys): p, id of pairs of a block's sides 0 and 1 that pass the test.
 
-    Rows come sorted by (key, a, b, side); a block's rows are few (at most BLOCK members a side on average)."""
+    A pair that shares several bands is compared only in the bucket of its smallest shared key (`keys` is null in
+    buckets made of several bands, where every pair is compared). Rows come sorted by (key, a, b, side); a block's rows are few (at most BLOCK members a side on average)."""
     steps = least_agreements(limit, miss)
     kind = rows.schema["id"].dataType.simpleString()
 
-    def compare(block: list) -> tuple[list, list]:
+    def compare(key: int, block: list) -> tuple[list, list]:
         side = np.array([r[0] for r in block])
         ids, n, comp = (np.array([r[k] for r in block]) for k in (1, 2, 3))
         sig = np.frombuffer(b"".join(r[4] for r in block), np.uint8).reshape(len(block), -1)
+        keys = np.array([r[5] for r in block], np.int64) if block[0][5] is not None else None
         ones = np.flatnonzero(side == 1)
         left, right = [], []
         for x in np.flatnonzero(side == 0):
             y = ones[(comp[ones] != comp[x]) & (np.minimum(n[ones], n[x]) >= limit * np.maximum(n[ones], n[x]) - 1e-6)]
+            if len(y) and keys is not None:
+                shared = np.where(keys[y] == keys[x], keys[x], np.iinfo(np.int64).max).min(axis=1)
+                y = y[shared == key]
             if len(y):
                 y = y[(sig[y, : steps[0][0]] == sig[x, : steps[0][0]]).sum(axis=1) >= steps[0][1]]
             if len(y):
@@ -194,13 +199,13 @@ def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
         key, block = None, []
 
         def done():
-            left, right = compare(block) if block else ([], [])
+            left, right = compare(key[0], block) if block else ([], [])
             return pa.record_batch({"p": pa.array(left, kind_), "id": pa.array(right, kind_)})
 
         kind_ = pa.int64()
         for batch in batches:
             kind_ = batch.schema.field("id").type
-            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "side", "id", "n", "comp", "sig"))):
+            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "side", "id", "n", "comp", "sig", "keys"))):
                 if key != (k, a, b):
                     if block:
                         yield done()
@@ -210,7 +215,7 @@ def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
             yield done()
 
     rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
-    return rows.select("key", "a", "b", "side", "id", "n", "comp", "sig").mapInArrow(run, f"p {kind}, id {kind}")
+    return rows.select("key", "a", "b", "side", "id", "n", "comp", "sig", "keys").mapInArrow(run, f"p {kind}, id {kind}")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -333,7 +338,7 @@ class NearDuplicates:
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         zero = some.where("comp <> main").select("key", place("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "id", "n", "comp")
         one = some.select("key", every("na").alias("a"), place("nb").alias("b"), F.lit(1).alias("side"), "id", "n", "comp")
-        sides = zero.unionByName(one).join(self.reps.select("id", "sig", F.col("n").alias("__n")).dropDuplicates(["id", "__n"]), "id").where("n = __n")
+        sides = zero.unionByName(one).join(self.reps.select("id", "sig", (F.col("keys") if depth == 1 else F.lit(None).cast("array<long>")).alias("keys"), F.col("n").alias("__n")), "id").where("n = __n")
         pairs = ws.put(likely_in_blocks(sides, self.percent / 100, self.miss).distinct(), "alive")
         if pairs.count():
             self.verify(pairs)
