@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitweft.functions.text import SENTINEL, chars
+from bitweft.session import Workspace
 
 INCREMENT = {"C": 1, "D": 2}
 
@@ -58,7 +59,8 @@ def train(df: DataFrame, order: int, model: str = "model", text: str = "text", e
     c = g.join(left, ["model", "k", "ctx", "s"], "left")
     by_all = F.lit(1) + inc * (F.col("n") - 1)
     cnt = F.when(F.col("s") == SENTINEL, F.lit(1)).when(F.col("k") >= order, by_all).otherwise(F.lit(1) + inc * (F.coalesce("l", F.lit(0)) + F.col("b") - 1) if update_exclusion else by_all)
-    return c.select("model", "k", "ctx", "s", "n", cnt.cast("long").alias("cnt"))
+    # Scoring reads a model several times, so it is a written table: it is trained once, and executors may come and go.
+    return Workspace(df.sparkSession, "model").put(c.select("model", "k", "ctx", "s", "n", cnt.cast("long").alias("cnt")), "counts")
 
 
 def contexts(counts: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def contexts(counts: DataFrame) -> DataFrame:
 
 def levels(targets: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     """targets(model, ctx, s) with each level's count and context figures beside them; ctx has at most `order` symbols."""
-    stats = contexts(counts)
+    stats = Workspace(counts.sparkSession, "model").put(contexts(counts), "contexts")
     out = targets
     for k in range(order, -1, -1):
         at = F.when(F.char_length("ctx") >= k, F.expr(f"right(ctx, {k})") if k else F.lit(""))
@@ -116,6 +118,7 @@ def codelengths(df: DataFrame, key: str, counts: DataFrame, order: int, alphabet
     """key, model, bits, symbols: the cost of each text under every model."""
     g = gram_counts(df, [key], order, text, sentinel)
     models = counts.select("model").distinct()
+    g = Workspace(df.sparkSession, "grams").put(g, "grams")
     costs = score(g.select("ctx", "s").distinct().crossJoin(F.broadcast(models)), counts, order, alphabet)
     return g.join(costs, ["ctx", "s"]).groupBy(key, "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("symbols"))
 

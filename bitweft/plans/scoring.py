@@ -24,11 +24,10 @@ def split_docs(spark, sf):
 def identify(costs: DataFrame, key: str) -> DataFrame:
     """key, predicted, bits, runner_up, symbols: the cheapest model (at equal bits the first) and the next one.
 
-    A map-side combinable pick of the two least, not a sort of all models of a text."""
-    c = costs.withColumn("r", F.round("bits", 6))
-    best = c.groupBy(key).agg(F.min(F.struct("r", "model", "bits", "symbols")).alias("b"))
-    rest = c.join(best, key).where(F.col("model") != F.col("b.model")).groupBy(key).agg(F.min(F.struct("r", "model")).alias("n"))
-    return best.join(rest, key, "left").select(key, F.col("b.model").alias("predicted"), F.col("b.bits").alias("bits"), F.col("n.model").alias("runner_up"), F.col("b.symbols").alias("symbols"))
+    A text has one row per model, so the sorted list of a key is as short as the list of models; costs are read once."""
+    ranked = F.array_sort(F.collect_list(F.struct(F.round("bits", 6).alias("r"), "model", "bits", "symbols")))
+    best = costs.groupBy(key).agg(ranked.alias("a"))
+    return best.select(key, F.get("a", F.lit(0))["model"].alias("predicted"), F.get("a", F.lit(0))["bits"].alias("bits"), F.get("a", F.lit(1))["model"].alias("runner_up"), F.get("a", F.lit(0))["symbols"].alias("symbols"))
 
 
 def identify_sql(cte: str, key: str) -> str:
