@@ -9,8 +9,9 @@
 4. Survivors are verified on the full shingle sets, made again from the whole texts: first each class with the
    smallest id that it shares most buckets with; then, of the other pairs, those whose ends are still apart.
 5. Buckets whose members are still in different components are compared in blocks of members: signatures go to a
-   block once, only survivors of the sequential test leave it, and these are verified too. So no link is lost
-   behind the smallest id, and no pairs are written out. A bucket too large for that is split by a second and
+   block once and only survivors of the sequential test leave it. Of these, each member's likeliest partner is
+   verified first; the pairs that are still apart are verified in blocks, to which a text goes once for many
+   pairs. So no link is lost behind the smallest id. A bucket too large for that is split by a second and
    a third shared band first (two texts at the limit share 12 of 48 bands on average); what is still together
    then is compared in blocks completely.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from bitweft.llm.arrow import as_bytes, map_rows, slices
 from bitweft.llm.graph import components
-from bitweft.session import BROADCAST_IDS, Workspace, pick, table, without
+from bitweft.session import BROADCAST_IDS, Workspace, pick, small, table, without
 
 #: Bands and rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8**6)**48 < 5e-7.
 BANDS, ROWS = 48, 6
@@ -46,6 +47,8 @@ BATCH = 36
 MISS = 1e-7
 #: Partners that one copy of a text is compared with.
 VERIFY_BLOCK = 128
+#: Shingles of one side that a block of verified pairs holds in memory.
+VERIFY_SHINGLES = 4_000_000
 #: Members of a bucket in a block; larger buckets than SPLIT members apart are split by further bands first.
 BLOCK, SPLIT = 512, 2048
 
@@ -168,44 +171,48 @@ def likely(pairs: DataFrame, limit: float, miss: float) -> DataFrame:
 
 
 def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
-    """rows(key, a, b, side, id, n, comp, sig, keys): p, id of pairs of a block's sides 0 and 1 that pass the test.
+    """rows(key, a, b, side, id, n, comp, main, sig, keys): main, p, id, n, m of pairs of a block's sides 0 and 1
+    that pass the test; p is the one of side 0, outside the bucket's component `main`, n its set's size.
 
     A pair that shares several bands is compared only in the bucket of its smallest shared key (`keys` is null in
     buckets made of several bands, where every pair is compared). Rows come sorted by (key, a, b, side); a block's rows are few (at most BLOCK members a side on average)."""
     steps = least_agreements(limit, miss)
     kind = rows.schema["id"].dataType.simpleString()
 
-    def compare(key: int, block: list) -> tuple[list, list]:
+    def compare(key: int, block: list) -> dict[str, list]:
         side = np.array([r[0] for r in block])
         ids, n, comp = (np.array([r[k] for r in block]) for k in (1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in block), np.uint8).reshape(len(block), -1)
-        keys = np.array([r[5] for r in block], np.int64) if block[0][5] is not None else None
+        main = block[0][4]
+        sig = np.frombuffer(b"".join(r[5] for r in block), np.uint8).reshape(len(block), -1)
+        keys = np.array([r[6] for r in block], np.int64) if block[0][6] is not None else None
         ones = np.flatnonzero(side == 1)
-        left, right = [], []
+        out = {c: [] for c in ("main", "p", "id", "n", "m")}
         for x in np.flatnonzero(side == 0):
-            y = ones[(comp[ones] != comp[x]) & (np.minimum(n[ones], n[x]) >= limit * np.maximum(n[ones], n[x]) - 1e-6)]
+            y = ones[(comp[ones] != comp[x]) & ((comp[ones] == main) | (ids[ones] > ids[x]))]
+            y = y[np.minimum(n[y], n[x]) >= limit * np.maximum(n[y], n[x]) - 1e-6]
             if len(y) and keys is not None:
                 shared = np.where(keys[y] == keys[x], keys[x], np.iinfo(np.int64).max).min(axis=1)
                 y = y[shared == key]
             if len(y):
                 y = y[(sig[y, : steps[0][0]] == sig[x, : steps[0][0]]).sum(axis=1) >= steps[0][1]]
             if len(y):
-                hit, _ = _agreeing(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], steps)
-                left += np.minimum(ids[y[hit]], ids[x]).tolist()
-                right += np.maximum(ids[y[hit]], ids[x]).tolist()
-        return left, right
+                hit, m = _agreeing(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], steps)
+                for c, v in (("main", main), ("p", block[x][1]), ("n", block[x][2])):
+                    out[c] += [v] * len(hit)
+                out["id"] += [block[i][1] for i in y[hit]]
+                out["m"] += m.tolist()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, []
 
         def done():
-            left, right = compare(key[0], block) if block else ([], [])
-            return pa.record_batch({"p": pa.array(left, kind_), "id": pa.array(right, kind_)})
+            return pa.record_batch({c: pa.array(v, pa.int64() if c in "nm" else kind_) for c, v in compare(key[0], block).items()})
 
         kind_ = pa.int64()
         for batch in batches:
             kind_ = batch.schema.field("id").type
-            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "side", "id", "n", "comp", "sig", "keys"))):
+            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if key != (k, a, b):
                     if block:
                         yield done()
@@ -214,8 +221,9 @@ def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
         if block:
             yield done()
 
+    columns = ["key", "a", "b", "side", "id", "n", "comp", "main", "sig", "keys"]
     rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
-    return rows.select("key", "a", "b", "side", "id", "n", "comp", "sig", "keys").mapInArrow(run, f"p {kind}, id {kind}")
+    return rows.select(*columns).mapInArrow(run, f"main {kind}, p {kind}, id {kind}, n long, m long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -254,6 +262,52 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return text.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def verified_in_blocks(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """verified() for pairs(main, p, id, n) where many p meet many id: those of one `main` are cut into blocks of at
+    most VERIFY_BLOCK p and id on average (fewer p if their sets are large), and a text goes to a block once."""
+    each = F.greatest(F.lit(1), F.least(F.lit(VERIFY_BLOCK), F.floor(VERIFY_SHINGLES / F.max("n"))))
+    na = pairs.groupBy("main", "p").agg(F.max("n").alias("n")).groupBy("main").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("na"))
+    nb = pairs.select("main", "id").distinct().groupBy("main").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).cast("int").alias("nb"))
+    large = na.join(nb, "main").where("na > 1 OR nb > 1")
+    place = lambda who, n: F.pmod(F.xxhash64(who), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    dealt = pairs.join(small(large), "main", "left").select("main", place("p", "na").alias("a"), place("id", "nb").alias("b"), "p", "id")
+    block = ["main", "a", "b"]
+    heads = dealt.select(*block, F.col("p").alias("who")).distinct().select(*block, F.lit(0).alias("part"), "who", F.array().cast(f"array<{docs.schema['id'].dataType.simpleString()}>").alias("ps"))
+    members = dealt.groupBy(*block, "id").agg(F.collect_list("p").alias("ps")).select(*block, F.lit(1).alias("part"), F.col("id").alias("who"), "ps")
+    wanted = heads.unionByName(members)
+    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_IDS else wanted.hint("merge")
+    text = docs.join(wanted, F.col("id") == F.col("who")).select(*block, "part", "id", "ps", "text")
+    text = text.repartition(*block).sortWithinPartitions(*block, "part")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, {}
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = []
+                rows = zip(*(batch.column(c).to_pylist() for c in ("main", "a", "b", "part", "id", "ps")), as_bytes(batch, "text"))
+                for main, a, b, part, who, ps, t in rows:
+                    if key != (main, a, b):
+                        key, sets = (main, a, b), {}
+                    h = shingles(t, k)
+                    if not len(h):
+                        continue
+                    if part == 0:
+                        sets.setdefault(who, []).append(h)
+                        continue
+                    for p in ps:
+                        for s in sets.get(p, []):
+                            if 100 * min(len(s), len(h)) < percent * max(len(s), len(h)):
+                                continue
+                            both = len(np.intersect1d(s, h, assume_unique=True))
+                            if 100 * both >= percent * (len(s) + len(h) - both):
+                                found.append((p, who))
+                                break
+                yield pa.record_batch({"u": pa.array([x for x, _ in found], batch.schema.field("id").type), "v": pa.array([x for _, x in found], batch.schema.field("id").type)})
+
+    return text.mapInArrow(run, f"u {kind}, v {kind}")
+
+
 class NearDuplicates:
     """One run over docs(id, text) with non-null ids."""
 
@@ -302,7 +356,7 @@ class NearDuplicates:
 
     def apart(self, pairs: DataFrame) -> DataFrame | None:
         """Those of pairs(p, id) whose ends are in different components; None if there are none."""
-        out = self.ws.put(self.labelled(self.labelled(pairs, "p", "cp"), "id", "ci").where("cp <> ci").select("p", "id"), "apart")
+        out = self.ws.put(self.labelled(self.labelled(pairs, "p", "cp"), "id", "ci").where("cp <> ci").drop("cp", "ci"), "apart")
         return out if out.count() else None
 
     def tested(self, pairs: DataFrame) -> DataFrame:
@@ -312,9 +366,9 @@ class NearDuplicates:
         both = both.where(F.least("ni", "np") * 100 >= F.greatest("ni", "np") * self.percent)
         return self.ws.put(likely(both, self.percent / 100, self.miss).groupBy("p", "id").agg(F.max("m").alias("m")), "alive")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Verify pairs(p, id) exactly and bring the components up to date with the links found."""
-        found = self.ws.put(verified(self.docs, pairs.select("p", "id"), self.k, self.percent), "links")
+    def verify(self, pairs: DataFrame, way=verified) -> None:
+        """Verify pairs exactly and bring the components up to date with the links found."""
+        found = self.ws.put(way(self.docs, pairs, self.k, self.percent), "links")
         if self.comps is None or found.count():
             edges = self.links.unionByName(found)
             self.comps = components(self.ws, edges)
@@ -336,12 +390,17 @@ class NearDuplicates:
         some = mixed.where(plain).withColumn("na", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int"))
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        zero = some.where("comp <> main").select("key", place("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "id", "n", "comp")
-        one = some.select("key", every("na").alias("a"), place("nb").alias("b"), F.lit(1).alias("side"), "id", "n", "comp")
+        zero = some.where("comp <> main").select("key", place("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "id", "n", "comp", "main")
+        one = some.select("key", every("na").alias("a"), place("nb").alias("b"), F.lit(1).alias("side"), "id", "n", "comp", "main")
         sides = zero.unionByName(one).join(self.reps.select("id", "sig", (F.col("keys") if depth == 1 else F.lit(None).cast("array<long>")).alias("keys"), F.col("n").alias("__n")), "id").where("n = __n")
-        pairs = ws.put(likely_in_blocks(sides, self.percent / 100, self.miss).distinct(), "alive")
-        if pairs.count():
-            self.verify(pairs)
+        found = likely_in_blocks(sides, self.percent / 100, self.miss)
+        alive = ws.put(found.groupBy("p", "id").agg(F.min("main").alias("main"), F.max("n").alias("n"), F.max("m").alias("m")), "alive")
+        if alive.count():
+            likeliest = alive.groupBy("p").agg(F.max_by("id", F.struct("m", "id")).alias("id"))
+            self.verify(ws.put(likeliest, "likeliest"))
+            rest = self.apart(alive)
+            if rest is not None:
+                self.verify(rest, verified_in_blocks)
         if depth < 3:
             hot = mixed.where(~plain).select("key", "last", "id", "n")
             if hot.limit(1).count():
