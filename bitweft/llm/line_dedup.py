@@ -7,7 +7,8 @@ of every line of the corpus always stays. All DataFrame operations.
 
 The digest of a window is the MD5 of its lines, joined by line feeds (lines hold none). A window that a third
 of all documents hold is one row after map-side combining; the join that marks later windows meets written
-tables on both sides, so that a hot window's rows can be split.
+tables on both sides, so that a hot window's rows can be split. Texts meet their marked windows in a sort-merge
+join by id at every size: the marked windows grow with the corpus, so they are never broadcast.
 
 Edge cases: null text is empty; documents of less than three lines have no window and stay as they are; rows
 without id never lose lines nor take part; rows with one id are one document, whose windows count once each
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweft.session import BROADCAST_IDS, Workspace, pick, table
+from bitweft.session import Workspace, pick, table
 
 WINDOW = 3
 
@@ -47,10 +48,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """A row per document: id, n_lines, n_removed, text (the lines that stay, joined by line feeds)."""
     d = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     _, later = repeated(d)
-    marked = later.select(F.col("id").alias("__id"), "starts")
-    places = later.select(F.sum(F.size("starts") + 8)).first()[0] or 0
-    marked = F.broadcast(marked) if places <= BROADCAST_IDS else marked.hint("merge")
-    out = d.join(marked, F.col("id") == F.col("__id"), "left")
+    marked = later.select(F.col("id").alias("__id"), "starts").hint("merge")
+    # Rows without id pass by the join, which would send them all to one task.
+    out = d.where(F.col("id").isNotNull()).join(marked, F.col("id") == F.col("__id"), "left").select("id", "text", "starts")
+    out = out.unionByName(d.where(F.col("id").isNull()).withColumn("starts", F.lit(None).cast(later.schema["starts"].dataType)))
     lines = F.split(F.col("text"), "\n", -1)
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     covered = F.flatten(F.transform(F.col("starts"), lambda s: F.array(*[s + k for k in range(WINDOW)])))
