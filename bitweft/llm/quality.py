@@ -7,7 +7,9 @@ Weights are fitted with an L1 penalty (proximal, per-coordinate rates), so most
 not judged by noise. Expected grade and tail probability P(grade >= k) select documents.
 
 The fit reads a bounded sample of the rated documents, at most `per_grade` of each grade and `top_grade` of the
-highest, chosen by the hash of their id; scoring covers every document and its whole text.
+highest, chosen by the hash of their id. Grades are counted over all ratings and each sampled row weighs as its
+grade's ratings do, so the thresholds' prior is that of all ratings at every size. Scoring covers every document
+and its whole text.
 
 Edge cases: null or empty text has no features, so it gets the prior of the thresholds; ratings that are null
 or of unknown ids are ignored, without any rating all documents get the top grade's probability 1; documents
@@ -95,12 +97,13 @@ class OrdinalModel:
         self.theta, self.index, self.weight = theta, index, weight
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, int]], grades: int, epochs: int = 6, rate: float = 0.15, l1: float = 5.0, l2: float = 1.0) -> OrdinalModel:
-        """rows: (feature ids, grade). The order of rows is made fixed by a seeded shuffle."""
+    def fit(cls, rows: list[tuple[np.ndarray, int]], grades: int, epochs: int = 6, rate: float = 0.15, l1: float = 5.0, l2: float = 1.0, weight: list[float] | None = None) -> OrdinalModel:
+        """rows: (feature ids, grade). The order of rows is made fixed by a seeded shuffle. weight: of a row, by its grade."""
         size = 1 << BITS
         if not rows:
             return cls([-40.0] * (grades - 1), np.empty(0, np.int64), np.empty(0))
-        counts = np.bincount([g for _, g in rows], minlength=grades) + 0.5
+        each = np.ones(grades) if weight is None else np.asarray(weight, float)
+        counts = np.bincount([g for _, g in rows], minlength=grades) * each + 0.5
         share = np.cumsum(counts)[:-1] / counts.sum()
         theta = np.log(share / (1 - share))
         z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -114,14 +117,14 @@ class OrdinalModel:
                 lower = _sigmoid(theta[g - 1] - s) if g > 0 else 0.0
                 p = max(upper - lower, 1e-9)
                 du, dl = upper * (1 - upper), lower * (1 - lower)
-                grad = (du - dl) / p  # d(-log p)/ds
+                grad = each[g] * (du - dl) / p  # d(-log p)/ds
                 g2 = grad * grad
                 sigma = (np.sqrt(n[ids] + g2) - np.sqrt(n[ids])) / rate
                 z[ids] += grad - sigma * w[ids]
                 n[ids] += g2
                 zi = z[ids]
                 w[ids] = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(n[ids])) / rate + l2))
-                for at, d in ((g, -du / p), (g - 1, dl / p)):
+                for at, d in ((g, -each[g] * du / p), (g - 1, each[g] * dl / p)):
                     if 0 <= at < grades - 1:
                         step[at] += d * d
                         theta[at] -= rate * d / (1.0 + np.sqrt(step[at]))
@@ -166,9 +169,18 @@ def sample(docs: DataFrame, ratings: DataFrame, grades: int, per_grade: int, top
     return [(values[offsets[i] : offsets[i + 1]].astype(np.int64), grade[i]) for i in order]
 
 
+def weights(ratings: DataFrame, grades: int, per_grade: int, top_grade: int) -> list[float]:
+    """Ratings that a sampled row of each grade stands for, scaled so that a sampled row weighs 1 on average."""
+    n = {r["grade"]: r["count"] for r in ratings.where("grade IS NOT NULL AND id IS NOT NULL").groupBy("grade").count().collect()}
+    full = [n.get(g, 0) for g in range(grades)]
+    taken = [min(x, top_grade if g == grades - 1 else per_grade) for g, x in enumerate(full)]
+    return [x * sum(taken) / (t * sum(full)) if t else 1.0 for x, t in zip(full, taken)]
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, per_grade: int = PER_GRADE, top_grade: int = TOP_GRADE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits on ratings(id, grade in 0..grades-1)."""
-    return OrdinalModel.fit(sample(docs, ratings, grades, per_grade, top_grade, id_col, text_col), grades)
+    rows = sample(docs, ratings, grades, per_grade, top_grade, id_col, text_col)
+    return OrdinalModel.fit(rows, grades, weight=weights(ratings, grades, per_grade, top_grade))
 
 
 def _scorer(model: OrdinalModel):

@@ -413,6 +413,20 @@ def test_ordinal_thresholds():
     assert w[0] < w[1] < w[2] < w[3]
 
 
+def test_quality_prior_under_caps(spark):
+    """The same label mix gives the same decisions, whether the sample's caps bind or not."""
+    grades = [0] * 110 + [1] * 130 + [2] * 760
+    docs = spark.createDataFrame([(i, f"plain text {'bad' if g < 2 and i % 2 else 'so'}") for i, g in enumerate(grades)], "doc_id long, text string")
+    rated = spark.createDataFrame(list(enumerate(grades)), "id long, grade int")
+    every, capped = (quality.fit(docs, rated, 3, a, b) for a, b in ((2500, 6000), (60, 60)))
+    one = {r.id: r for r in quality.score(docs, every, 2).collect()}
+    two = {r.id: r for r in quality.score(docs, capped, 2).collect()}
+    share = sum(r.tail_probability for r in two.values()) / len(two)
+    assert abs(share - 0.76) < 0.1, share
+    assert [r.kept for r in two.values()] == [one[i].kept for i in two]
+    assert quality.weights(rated, 3, 2500, 6000) == [1, 1, 1]
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
