@@ -7,6 +7,12 @@ slots (placeholders), the values that the document puts into them must be consis
 always corresponds to one value of the document, so re-parameterised copies are caught and texts that only
 share a pattern of placeholders are not. All DataFrame operations.
 
+Documents that hold less than `least` of the windows are compared with the item word by word in the places of the
+windows they hold. They are contaminated too by a passage, PASSAGE equal words in a row whatever their share of the
+item, and by an edited copy, EDITED of the item's words in their places, where insertions and deletions may move
+places by up to MOVED words. Slots in the passage (the copy) must be consistent. A copy that keeps no indexed window
+at all is not seen.
+
 Placeholders: a name is a capitalised word in the middle of a sentence; a number is a run of digits with
 inner points or commas; a unit is a word of UNITS after a number. All else is lower-cased without signs.
 
@@ -26,6 +32,9 @@ from bitweft.session import Workspace, pick, small, table
 
 WORDS = 5
 
+#: Equal words in a row that are a passage; share of an item's words that is an edited copy, and how far places may move.
+PASSAGE, EDITED, MOVED = 13, 0.8, 3
+
 #: Index windows up to this count go to every executor; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -77,14 +86,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: s
     met = rows.join(small(index, BROADCAST_WINDOWS), "hash")
     # How many windows of the item the document holds, and on which relative place most of them lie.
     per_place = met.groupBy("id", "item", (F.col("p") - F.col("t")).alias("shift")).agg(F.collect_set("t").alias("ts"), F.max("of").alias("of"))
-    per_item = per_place.groupBy("id", "item").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.max_by("shift", F.struct(F.size("ts"), -F.col("shift"))).alias("shift"), F.max("of").alias("of"))
-    found = per_item.select("id", "item", "shift", (F.size("ts") / F.col("of")).alias("containment")).where(F.col("containment") >= least)
-    found = ws.put(found, "found")
+    per_item = per_place.groupBy("id", "item").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.max_by("shift", F.struct(F.size("ts"), -F.col("shift"))).alias("shift"), F.collect_list("shift").alias("shifts"), F.max("of").alias("of"))
+    per_item = ws.put(per_item.select("id", "item", "shift", "shifts", (F.size("ts") / F.col("of")).alias("containment")), "met")
+    found = per_item.where(F.col("containment") >= least).drop("shifts")
     slotted = items.select("item", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_slot(F.element_at("words", i + 1))).alias("slots"), "words", "values").where(F.size("words") > 0).where(F.size("slots") > 0)
     to_check = ws.put(found.join(slotted, "item"), "slots")
     held = consistent(d, to_check) if to_check.limit(1).count() else None
     clean = found.join(to_check.select("id", "item"), ["id", "item"], "left_anti").select("id", "item", "containment") if held is not None else found.select("id", "item", "containment")
-    return clean.unionByName(held) if held is not None else clean
+    whole = ws.put(clean.unionByName(held), "whole") if held is not None else clean
+    rest = ws.put(per_item.join(whole.select("id", "item"), ["id", "item"], "left_anti").drop("shift"), "rest")
+    return whole.unionByName(partial(d, rest, items)) if rest.limit(1).count() else whole
+
+
+def partial(docs: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
+    """Those of met(id, item, shifts, containment) where the document holds a passage or an edited copy of the item."""
+    text = docs.join(small(met.select(F.col("id").alias("__id")).distinct()), F.col("id") == F.col("__id"), "left_semi")
+    text = text.select("id", words(F.col("text")).alias("dw"), words(F.col("text"), typed=False).alias("dv"))
+    both = text.join(small(met.join(small(items, 50_000), "item"), 50_000), "id")
+    n = F.size("words")
+    word = lambda i: F.get("words", i)
+    same = lambda i, shift: F.coalesce(F.get("dw", i + shift) == word(i), F.lit(False))
+    places = F.sequence(F.lit(0), n - 1)
+
+    def fit(pairs: Column) -> Column:
+        pairs = F.array_distinct(pairs)
+        return F.aggregate(F.array(pairs), F.lit(True), lambda _, p: F.size(p) == F.size(F.array_distinct(F.transform(p, lambda x: x["a"]))))
+
+    def filled(slots: Column, shift_of) -> Column:
+        return fit(F.transform(slots, lambda i: F.struct(F.get("values", i).alias("a"), F.get("dv", i + shift_of(i)).alias("b"))))
+
+    def place(s: Column) -> Column:
+        near = F.filter(F.array(*[s + k for k in sorted(range(-MOVED, MOVED + 1), key=abs)]), lambda x: F.array_contains("shifts", x))
+        breaks = F.concat(F.array(F.lit(-1)), F.filter(places, lambda i: ~same(i, s)), F.array(n))
+        copy = F.transform(F.array(near), lambda near: F.transform(places, lambda i: F.get(F.filter(near, lambda x: same(i, x)), F.lit(0))))[0]
+        return F.struct(s.alias("s"), breaks.alias("breaks"), copy.alias("copy"))
+
+    def passage(a: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(a["breaks"]) - 1), lambda k: F.get(a["breaks"], k) - F.get(a["breaks"], k - 1) > PASSAGE)
+        inside = lambda k: F.filter("slots", lambda i: (i > F.get(a["breaks"], k - 1)) & (i < F.get(a["breaks"], k)))
+        return F.exists(ends, lambda k: filled(inside(k), lambda i: a["s"]))
+
+    def edited(a: Column) -> Column:
+        enough = F.size(F.filter(a["copy"], lambda x: x.isNotNull())) >= n * EDITED
+        return enough & filled(F.filter("slots", lambda i: F.get(a["copy"], i).isNotNull()), lambda i: F.get(a["copy"], i))
+
+    both = both.where(n >= WORDS).withColumn("slots", F.filter(places, lambda i: is_slot(word(i))))
+    ok = F.exists(F.transform("shifts", place), lambda a: passage(a) | edited(a))
+    return both.where(ok).groupBy("id", "item").agg(F.max("containment").alias("containment"))
 
 
 def consistent(docs: DataFrame, found: DataFrame) -> DataFrame:

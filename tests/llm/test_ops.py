@@ -475,3 +475,46 @@ def test_decontaminate_slots(spark, odd):
     df, texts = odd
     assert decontaminate.verdicts(df, b).count() == len(texts)
     assert decontaminate.verdicts(df.limit(0), b).count() == 0 and decontaminate.verdicts(df, b.limit(0)).count() == len(texts)
+
+
+def brute_partial(doc, item):
+    """Half of the windows, 13 equal words in a row, or 0.8 of the words in places moved by up to 3; without slots."""
+    n = len(item)
+    windows = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    share = sum(tuple(item[i : i + 5]) in windows(doc) for i in range(n - 4)) / (n - 4)
+    at = lambda i, s: 0 <= i + s < len(doc) and doc[i + s] == item[i]
+    shifts = {p - t for t in range(n - 4) for p in range(len(doc) - 4) if doc[p : p + 5] == item[t : t + 5]}
+    run = any(all(at(i + k, s) for k in range(13)) for s in shifts for i in range(n - 12))
+    near = lambda s: [s + k for k in range(-3, 4) if s + k in shifts]
+    copy = any(sum(any(at(i, x) for x in near(s)) for i in range(n)) >= 0.8 * n for s in shifts)
+    return share >= 0.5 or run or copy
+
+
+def test_decontaminate_partial(spark):
+    """Passages of all lengths and edited copies, against brute force."""
+    rng = np.random.default_rng(11)
+    letters = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    word = lambda n: [letters() for _ in range(n)]
+    items = {k: word(n) for k, n in enumerate((59, 16, 16, 30, 9, 40))}
+    docs = [word(20) + items[0][14:45] + word(9), word(6) + items[1][:5] + ["changed"] + items[1][6:10] + ["again"] + items[1][11:] + word(4)]
+    docs.append(items[2][:5] + word(1) + items[2][5:10] + word(1) + items[2][10:])
+    docs += [word(3) + items[0][k : k + n] + word(3) for k, n in ((0, 12), (0, 13), (46, 13), (47, 12), (5, 20))]
+    for _ in range(80):
+        w = list(items[int(rng.integers(len(items)))])
+        for _ in range(rng.integers(1, 9)):
+            k = int(rng.integers(len(w)))
+            w[k : k + int(rng.integers(2))] = word(int(rng.integers(2)))
+        docs.append(word(int(rng.integers(9))) + w + word(int(rng.integers(9))))
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.id: r["items"] for r in decontaminate.verdicts(d, b).collect()}
+    want = {i: [k for k, w in items.items() if brute_partial(x, w)] for i, x in enumerate(docs)}
+    assert got == want and [want[i] for i in range(8)] == [[0], [1], [2], [], [0], [0], [], [0]]
+
+
+def test_decontaminate_partial_slots(spark):
+    item = "yesterday my friend Alice bought 3 kg of apples and then Alice ate 2 apples while Bob " + " ".join(f"{c}{c}x" for c in "abcdefghijklmnopqrstuvw")
+    texts = ["well yesterday my friend Carol bought 7 lb of apples and then Carol ate 5 apples while nobody looked", "well yesterday my friend Carol bought 7 lb of apples and then Erin ate 5 apples while nobody looked"]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.id, r.kept) for r in decontaminate.verdicts(d, b).collect()) == [(0, False), (1, True)]
