@@ -112,21 +112,22 @@ def word_pairs(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.explode(z).alias("z")).select("conv_id", "turn", "role", "z.word", "z.prev").where("word IS NOT NULL")
 
 
+def pair_bits(train, test):
+    """The rows of test with their bits under the back-off model of train."""
+    pairs, singles = train.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")), train.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    bits = words.back_off(pairs, singles, test.select("prev", "word").distinct())
+    return test.join(bits, ["prev", "word"])
+
+
 @query(f"WITH {_PAIR}{_BACK} SELECT conv_id, turn, count(*) AS words, round(sum(bits), 4) AS bits FROM p JOIN b USING (prev, word) WHERE conv_id % 2 = 1 GROUP BY ALL")
 def bigram_pt_bits(spark, sf):
     """Word model with back-off: previous word, then no context, then spelling; even conversations train, odd are scored."""
     p = word_pairs(spark, sf)
-    even, odd = p.where("conv_id % 2 = 0"), p.where("conv_id % 2 = 1")
-    pairs, singles = even.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")), even.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    bits = words.back_off(pairs, singles, odd.select("prev", "word").distinct())
-    return odd.join(bits, ["prev", "word"]).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("bits"), 4).alias("bits"))
+    return pair_bits(p.where("conv_id % 2 = 0"), p.where("conv_id % 2 = 1")).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("bits"), 4).alias("bits"))
 
 
 @query(f"WITH {_PAIR.replace('SELECT conv_id, turn, pos, word, coalesce(lag(word) OVER (PARTITION BY conv_id, turn ORDER BY pos), ' + chr(39) * 2 + ') AS prev FROM t', 'SELECT t.conv_id, t.turn, pos, word, role AS prev FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn')}{_BACK} SELECT prev AS tag, count(*) AS words, round(sum(bits), 4) AS bits FROM p JOIN b USING (prev, word) WHERE conv_id % 2 = 1 GROUP BY ALL")
 def tag_back_off_bits(spark, sf):
     """Tag model: word given tag, then word, then spelling; the speaker's role is the tag."""
     p = word_pairs(spark, sf).withColumn("prev", F.col("role"))
-    even, odd = p.where("conv_id % 2 = 0"), p.where("conv_id % 2 = 1")
-    pairs, singles = even.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n")), even.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    bits = words.back_off(pairs, singles, odd.select("prev", "word").distinct())
-    return odd.join(bits, ["prev", "word"]).groupBy(F.col("prev").alias("tag")).agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("bits"), 4).alias("bits"))
+    return pair_bits(p.where("conv_id % 2 = 0"), p.where("conv_id % 2 = 1")).groupBy(F.col("prev").alias("tag")).agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("bits"), 4).alias("bits"))

@@ -43,47 +43,62 @@ _ID2 = identify_sql(Q.codelengths(_EVEN, _ODD, "doc_id", 2), "doc_id")
 _ID1 = identify_sql(Q.codelengths(_EVEN, _ODD, "doc_id", 1), "doc_id")
 
 
+def of_lang_id_static(test, costs):
+    d = test.select("doc_id", "lang", F.char_length("text").alias("n"))
+    return identify(costs, "doc_id").join(d, "doc_id").select("doc_id", "lang", "predicted", F.round("bits", 4).alias("bits"), F.round(F.col("bits") / F.col("n"), 6).alias("bits_per_char"), "runner_up")
+
+
 @query(f"{_ID2} SELECT doc_id, lang, predicted, round(bits, 4) AS bits, round(bits / length(text), 6) AS bits_per_char, runner_up FROM best JOIN documents USING (doc_id)")
 def lang_id_static(spark, sf):
     """Language identification by minimum code length, order 2: even documents train, odd ones are identified."""
-    test, costs = lang_costs(spark, sf, 2)
-    d = test.select("doc_id", "lang", F.char_length("text").alias("n"))
-    return identify(costs, "doc_id").join(d, "doc_id").select("doc_id", "lang", "predicted", F.round("bits", 4).alias("bits"), F.round(F.col("bits") / F.col("n"), 6).alias("bits_per_char"), "runner_up")
+    return of_lang_id_static(*lang_costs(spark, sf, 2))
 
 
-@query(f"{_ID1} SELECT coalesce(lang, 'all') AS lang, count(*) AS docs, CAST(count(*) FILTER (WHERE lang0 = predicted) AS BIGINT) AS hits, round(avg(CASE WHEN lang0 = predicted THEN 1.0 ELSE 0.0 END), 6) AS precision_at_1 FROM (SELECT lang, lang AS lang0, predicted FROM best JOIN documents USING (doc_id)) GROUP BY ROLLUP (lang)")
-def lang_id_precision(spark, sf):
-    """Precision at the first rank, by language and over all."""
-    test, costs = lang_costs(spark, sf, 1)
+def of_lang_id_precision(test, costs):
     hit = F.when(F.col("true") == F.col("predicted"), 1).otherwise(0)
     r = identify(costs, "doc_id").join(test.select("doc_id", "lang", F.col("lang").alias("true")), "doc_id").rollup("lang")
     return r.agg(F.count(F.lit(1)).alias("docs"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("precision_at_1")).withColumn("lang", F.coalesce("lang", F.lit("all")))
 
 
-@query(f"""{_ID1}, m AS (SELECT lang, predicted FROM best JOIN documents USING (doc_id)), t AS (SELECT lang AS tag, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT predicted AS tag, count(*) AS n FROM m GROUP BY ALL), h AS (SELECT lang AS tag, count(*) AS n FROM m WHERE lang = predicted GROUP BY ALL)
-SELECT tag, round(coalesce(h.n, 0) / p.n, 6) AS "precision", round(coalesce(h.n, 0) / t.n, 6) AS recall FROM t LEFT JOIN p USING (tag) LEFT JOIN h USING (tag)""")
-def lang_confusion(spark, sf):
-    """Precision and recall of each class."""
-    test, costs = lang_costs(spark, sf, 1)
+@query(f"{_ID1} SELECT coalesce(lang, 'all') AS lang, count(*) AS docs, CAST(count(*) FILTER (WHERE lang0 = predicted) AS BIGINT) AS hits, round(avg(CASE WHEN lang0 = predicted THEN 1.0 ELSE 0.0 END), 6) AS precision_at_1 FROM (SELECT lang, lang AS lang0, predicted FROM best JOIN documents USING (doc_id)) GROUP BY ROLLUP (lang)")
+def lang_id_precision(spark, sf):
+    """Precision at the first rank, by language and over all."""
+    return of_lang_id_precision(*lang_costs(spark, sf, 1))
+
+
+def of_lang_confusion(test, costs):
     m = identify(costs, "doc_id").join(test.select("doc_id", "lang"), "doc_id").groupBy("lang", "predicted").agg(F.count(F.lit(1)).alias("n"))
     t = m.groupBy(F.col("lang").alias("tag")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("lang") == F.col("predicted"), F.col("n")).otherwise(0)).alias("h"))
     p = m.groupBy(F.col("predicted").alias("tag")).agg(F.sum("n").alias("p"))
     return t.join(p, "tag", "left").select("tag", F.round(F.col("h") / F.col("p"), 6).alias("precision"), F.round(F.col("h") / F.col("t"), 6).alias("recall"))
 
 
+@query(f"""{_ID1}, m AS (SELECT lang, predicted FROM best JOIN documents USING (doc_id)), t AS (SELECT lang AS tag, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT predicted AS tag, count(*) AS n FROM m GROUP BY ALL), h AS (SELECT lang AS tag, count(*) AS n FROM m WHERE lang = predicted GROUP BY ALL)
+SELECT tag, round(coalesce(h.n, 0) / p.n, 6) AS "precision", round(coalesce(h.n, 0) / t.n, 6) AS recall FROM t LEFT JOIN p USING (tag) LEFT JOIN h USING (tag)""")
+def lang_confusion(spark, sf):
+    """Precision and recall of each class."""
+    return of_lang_confusion(*lang_costs(spark, sf, 1))
+
+
+def of_lang_bits_matrix(_, costs):
+    return costs.select("doc_id", "model", F.round("bits", 4).alias("bits"), F.round(F.col("bits") / F.col("symbols"), 6).alias("per_symbol"), F.round(F.col("bits") / (F.col("symbols") - 1), 6).alias("per_char"))
+
+
 @query(f"{Q.codelengths(_EVEN, _ODD, 'doc_id', 1)} SELECT doc_id, model, round(bits, 4) AS bits, round(bits / symbols, 6) AS per_symbol, round(bits / (symbols - 1), 6) AS per_char FROM cl")
 def lang_bits_matrix(spark, sf):
     """Cost of every document under every model; cross-entropy with and without the sentinel in the length."""
-    _, costs = lang_costs(spark, sf, 1)
-    return costs.select("doc_id", "model", F.round("bits", 4).alias("bits"), F.round(F.col("bits") / F.col("symbols"), 6).alias("per_symbol"), F.round(F.col("bits") / (F.col("symbols") - 1), 6).alias("per_char"))
+    return of_lang_bits_matrix(*lang_costs(spark, sf, 1))
+
+
+def of_bits_json(_, costs):
+    pairs = F.array_sort(F.collect_list(F.struct("model", F.round("bits").cast("long").alias("bits"))))
+    return costs.groupBy("doc_id").agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
 
 
 @query(f"""{Q.codelengths(_EVEN, _ODD, 'doc_id', 0)} SELECT doc_id, '{{' || string_agg('"' || model || '":' || CAST(CAST(round(bits) AS BIGINT) AS VARCHAR), ',' ORDER BY model) || '}}' AS json FROM cl GROUP BY doc_id""")
 def bits_json(spark, sf):
     """JSON object of bits by model for each document."""
-    _, costs = lang_costs(spark, sf, 0)
-    pairs = F.array_sort(F.collect_list(F.struct("model", F.round("bits").cast("long").alias("bits"))))
-    return costs.groupBy("doc_id").agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
+    return of_bits_json(*lang_costs(spark, sf, 0))
 
 
 def role_model(spark, sf, order):
@@ -156,24 +171,36 @@ def maxorder_bits(spark, sf):
 _RID = identify_sql(Q.codelengths("SELECT role AS model, conv_id * 1000 + turn AS doc, text FROM conversations WHERE conv_id % 2 = 0", "SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id % 2 = 1", "id", 2), "id")
 
 
+def of_role_id_conversations(t, costs):
+    return identify(costs, "id").join(t.select(F.col("doc").alias("id"), F.col("model").alias("role")), "id").select("id", "role", "predicted", F.round("bits", 4).alias("bits"))
+
+
 @query(f"{_RID} SELECT id, role, predicted, round(bits, 4) AS bits FROM best JOIN (SELECT conv_id * 1000 + turn AS id, role FROM conversations) USING (id)")
 def role_id_conversations(spark, sf):
     """Who speaks: even conversations train a model per role, odd ones are identified."""
     t = turns(spark, sf)
     costs = ppm.codelengths(t.where("conv_id % 2 = 1").withColumnRenamed("doc", "id"), "id", ppm.train(t.where("conv_id % 2 = 0"), 2), 2)
-    return identify(costs, "id").join(t.select(F.col("doc").alias("id"), F.col("model").alias("role")), "id").select("id", "role", "predicted", F.round("bits", 4).alias("bits"))
+    return of_role_id_conversations(t, costs)
 
 
 _TOX = "SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS model, doc_id AS doc, text FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 0"
 _TOXT = "SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 1"
 
 
+def labelled(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("model", F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+
+
+def of_toxic_id_labels(d, costs):
+    return identify(costs, "doc_id").join(d.select("doc_id", "toxic"), "doc_id").groupBy(F.col("toxic").cast("long").alias("toxic"), "predicted").agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query(f"{identify_sql(Q.codelengths(_TOX, _TOXT, 'doc_id', 1), 'doc_id')} SELECT CAST(toxic AS BIGINT) AS toxic, predicted, count(*) AS docs FROM best JOIN labels USING (doc_id) GROUP BY ALL")
 def toxic_id_labels(spark, sf):
     """Binary identification on labelled documents: confusion counts."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("model", F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    d = labelled(spark, sf)
     costs = ppm.codelengths(d.where("doc_id % 2 = 1"), "doc_id", ppm.train(d.where("doc_id % 2 = 0"), 1), 1)
-    return identify(costs, "doc_id").join(d.select("doc_id", "toxic"), "doc_id").groupBy(F.col("toxic").cast("long").alias("toxic"), "predicted").agg(F.count(F.lit(1)).alias("docs"))
+    return of_toxic_id_labels(d, costs)
 
 
 _BOTH = per_symbol_sql(_ITEMS, "item_id", 1)
