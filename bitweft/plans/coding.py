@@ -45,12 +45,16 @@ def word_segmentation(spark, sf):
     return rewrite.segment_texts(b, "item_id", models, "all", beam=16).withColumn("bits", F.round("bits", 4))
 
 
+def of_language_markup(spark, sf, order):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("model"), "text")
+    models = rewrite.StaticModels.of(ppm.train(d, order), order)
+    return rewrite.markup_texts(turns(spark, sf).select("doc", "text"), "doc", models, ["de", "en", "es", "fr"])
+
+
 @query()
 def language_markup(spark, sf):
     """Which language's model each character of a turn is cheapest under, switching at spaces."""
-    d = table(spark, sf, "documents").select(F.col("lang").alias("model"), "text")
-    models = rewrite.StaticModels.of(ppm.train(d, 1), 1)
-    return rewrite.markup_texts(turns(spark, sf).select("doc", "text"), "doc", models, ["de", "en", "es", "fr"])
+    return of_language_markup(spark, sf, 1)
 
 
 @query()

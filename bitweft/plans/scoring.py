@@ -113,12 +113,16 @@ def per_symbol_sql(test: str, keys: str, order: int, sentinel: bool = True) -> s
     return "WITH " + ",\n".join([Q.train(TURNS, order), Q.symbols("te", test, keys, order, sentinel), f"tx AS (SELECT *, {Q.longest(order)} AS ctx FROM te)", Q.scored("SELECT DISTINCT m.model, tx.ctx, tx.s FROM tx, (SELECT DISTINCT model FROM counts) m", order), f"ps AS (SELECT {keys}, pos, s, model, bits FROM tx JOIN costs USING (ctx, s))"])
 
 
+def of_line_bits_max(spark, sf, order):
+    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    g = ppm.per_symbol(b, ["item_id", "line"], role_model(spark, sf, order), order).groupBy("item_id", "line", "model").agg(F.sum("bits").alias("b"))
+    return g.groupBy("item_id", "model").agg(F.count(F.lit(1)).alias("lines"), F.round(F.max("b"), 4).alias("most"), F.round(F.avg("b"), 4).alias("mean"))
+
+
 @query(f"{per_symbol_sql(_LINES, 'item_id, line', 2)}, li AS (SELECT item_id, line, model, sum(bits) AS b FROM ps GROUP BY ALL) SELECT item_id, model, count(*) AS lines, round(max(b), 4) AS most, round(avg(b), 4) AS mean FROM li GROUP BY ALL")
 def line_bits_max(spark, sf):
     """Cost of each line on its own: mean and maximum of each text."""
-    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    g = ppm.per_symbol(b, ["item_id", "line"], role_model(spark, sf, 2), 2).groupBy("item_id", "line", "model").agg(F.sum("bits").alias("b"))
-    return g.groupBy("item_id", "model").agg(F.count(F.lit(1)).alias("lines"), F.round(F.max("b"), 4).alias("most"), F.round(F.avg("b"), 4).alias("mean"))
+    return of_line_bits_max(spark, sf, 2)
 
 
 @query(f"""{per_symbol_sql(_ITEMS, 'item_id', 2)}, rs AS (SELECT item_id, model, pos, sum(bits) OVER (PARTITION BY item_id, model ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM ps)

@@ -228,3 +228,50 @@ def test_folds_score_every_row(spark, sf):
     assert {r.doc_id for r in registry.QUERIES["lang_id_static_folds"](spark, sf).collect()} == ids
     turns = spark.read.parquet(f"{sf}/conversations.parquet").count()
     assert registry.QUERIES["role_id_conversations_folds"](spark, sf).count() == turns
+
+
+@pytest.fixture(scope="module")
+def small_sf(spark, sf, tmp_path_factory):
+    """A small part of the tables, cut short, for brute force at order 5."""
+    out = str(tmp_path_factory.mktemp("o5"))
+    cut = lambda t, n: spark.read.parquet(f"{sf}/{t}.parquet").withColumn("text", F.expr(f"left(text, {n})"))
+    cut("documents", 120).where("doc_id < 24").write.parquet(f"{out}/documents.parquet")
+    cut("conversations", 60).where("conv_id < 8").write.parquet(f"{out}/conversations.parquet")
+    cut("benchmark", 80).limit(4).write.parquet(f"{out}/benchmark.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").where("doc_id < 24").write.parquet(f"{out}/labels.parquet")
+    return out
+
+
+def brute_o5(rows, tests):
+    """(id, half, model, text) -> {(id, model): bits} with models of the other half; half None: of all rows."""
+    out = {}
+    for half in {h for _, h, _ in tests}:
+        by = {}
+        for _, h, m, t in rows:
+            if half is None or h != half:
+                by.setdefault(m, []).append(t)
+        frozen = {m: static(sorted(ts), 5, 65536) for m, ts in by.items()}
+        out |= {(i, m): frozen_bits(f, t) for i, h, t in tests if h == half for m, f in frozen.items()}
+    return out
+
+
+def test_order5(spark, small_sf):
+    q = lambda n: registry.QUERIES[f"{n}_o5"](spark, small_sf).collect()
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet").collect()
+    want = brute_o5([(r.doc_id, r.doc_id % 2, r.lang, r.text) for r in docs], [(r.doc_id, r.doc_id % 2, r.text) for r in docs])
+    assert {(r.doc_id, r.model): r.bits for r in q("lang_bits_matrix")} == pytest.approx(want, abs=1e-3)
+    best = {i: min((round(b, 6), m) for (j, m), b in want.items() if j == i)[1] for i, _ in want}
+    found = {r.doc_id: r.predicted for r in q("lang_id_static")}
+    assert found == best
+    hits = sum(best[r.doc_id] == r.lang for r in docs)
+    assert [(r.docs, r.hits) for r in q("lang_id_precision") if r.lang == "all"] == [(len(docs), hits)]
+    turns = spark.read.parquet(f"{small_sf}/conversations.parquet").collect()
+    rows = [(r.conv_id * 1000 + r.turn, r.conv_id % 2, r.role, r.text) for r in turns]
+    want = brute_o5(rows, [(i, h, t) for i, h, _, t in rows])
+    got = {r.id: (r.predicted, r.bits) for r in q("role_id_conversations")}
+    assert len(got) == len(turns) and all(b == pytest.approx(want[i, m], abs=1e-3) and b <= min(v for (j, _), v in want.items() if j == i) + 1e-3 for i, (m, b) in got.items())
+    items = [(r.item_id, None, r.text) for r in spark.read.parquet(f"{small_sf}/benchmark.parquet").collect() if "\n" not in r.text]
+    want = brute_o5(rows, items)
+    assert items and {(r.item_id, r.model): r.most for r in q("line_bits_max") if (r.item_id, r.model) in want} == pytest.approx(want, abs=1e-3)
+    assert len(q("bits_json")) == len(docs) and sum(r.docs for r in q("toxic_id_labels")) == spark.read.parquet(f"{small_sf}/labels.parquet").count()
+    assert q("language_markup") and q("lang_confusion")
