@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bitweft.session import Workspace
 
@@ -21,25 +22,25 @@ ONE_TASK = 500_000
 def _union_find(edges: DataFrame) -> DataFrame:
     """id, comp of a list of at most ONE_TASK edges."""
 
+    kind = to_arrow_type(edges.schema["u"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
+        root: dict = {}
 
-        def find(x: int) -> int:
+        def find(x):
             while (r := root.setdefault(x, x)) != x:
                 root[x] = root[r]
                 x = root[x]
             return x
 
-        kind = pa.int64()
         for batch in batches:
-            kind = batch.schema.field("u").type
             for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
                 a, b = find(u), find(v)
                 root[max(a, b)] = min(a, b)
         yield pa.record_batch({"id": pa.array(list(root), kind), "comp": pa.array([find(x) for x in root], kind)})
 
-    kind = edges.schema["u"].dataType.simpleString()
-    return edges.coalesce(1).mapInArrow(run, f"id {kind}, comp {kind}")
+    name = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"id {name}, comp {name}")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -51,9 +52,10 @@ def components(ws: Workspace, edges: DataFrame, one_task: int = ONE_TASK) -> Dat
 
     Each round meets neighbours through a grouped minimum (combined before the shuffle) and a join, so no
     node's neighbours are gathered in one place."""
-    e = ws.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    if e.count() <= one_task:
-        return ws.put(_union_find(e), "comps")
+    edges = edges.where("u <> v")
+    if edges.limit(one_task + 1).count() <= one_task:
+        return ws.put(_union_find(edges), "comps")
+    e = ws.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(e)
     while before[0]:
         # large star: larger neighbours go to the smallest node of each neighbourhood

@@ -2,23 +2,23 @@
 
 1. One pass makes each document's set of distinct word shingles (64-bit hashes), a MinHash signature and the
    keys of its bands. Documents with equal sets form a class; its smallest id stands for it from here on.
-2. Within a bucket (a band key that several classes share) every class is paired with the bucket's smallest
-   id, never with all others, so a bucket gives as many pairs as it has members.
+2. Within a bucket (a band key that several classes share) a class is paired with the bucket's smallest id, never
+   with all others.
 3. Signatures of a pair are compared batch by batch. After each batch the posterior probability that the
    similarity reaches the limit, given the agreements so far, decides: below `miss` the pair is dropped.
-4. Survivors are verified on the full shingle sets, made again from the whole texts: first each class with the
-   smallest id that it shares most buckets with; then, of the other pairs, those whose ends are still apart.
-5. Buckets whose members are still in different components are compared in blocks of members: signatures go to a
-   block once and only survivors of the sequential test leave it. Of these, each member's likeliest partner is
-   verified first; the pairs that are still apart are verified in blocks, to which a text goes once for many
-   pairs. So no link is lost behind the smallest id. A bucket too large for that is split by a second and
-   a third shared band first (two texts at the limit share 12 of 48 bands on average); what is still together
-   then is compared in blocks completely. A pair that shares only one band, which is so large, or only two whose
-   intersection is too, is not compared unless one of it is the smallest id: at similarity 0.8 that has a
-   probability of 7.8e-6 (one band) to 7.3e-5 (one or two), against 4.6e-7 for a pair without any shared band.
-
-A third of all rows may be in one group: members meet their bucket's smallest id through written tables whose
-joins can be split, and the text of a hot id is sent once for every VERIFY_BLOCK partners.
+4. Survivors are verified on the full shingle sets, made again from the whole texts. These steps first meet each
+   class with the smallest id that it shares most buckets with.
+5. Members of buckets that still hold different components meet by their rarest shingles: a link between two
+   components implies a common shingle among the first of both (an exact condition, so no link is lost behind
+   the smallest id). Only these pairs go through steps 3 and 4 again. Where more than SHORT members meet, their
+   differences from a central text take the place of the shingles (exact as well). Where more than SHORT still
+   meet, they are compared in blocks: tests and verification run within the task, and only links leave it.
+
+A pair at similarity 0.8 is missed if it shares no band (4.6e-7) or fails the sequential test (1e-7), at every
+size of group. A third of all rows may be in one group: members meet their bucket's smallest id through written
+tables whose joins can be split, and the text of a hot id is sent once for every VERIFY_BLOCK partners.
+
+Ids may be of any type that can be ordered (integers, strings, dates).
 
 Edge cases: null or empty text (or only white space) has an empty set and is linked with nothing; fewer words
 than a shingle are one shingle; rows without id are never linked (component null, kept); rows with one id are
@@ -34,8 +34,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bitweft.llm.arrow import as_bytes, map_rows, slices
 from bitweft.llm.graph import components
@@ -51,8 +52,12 @@ MISS = 1e-7
 VERIFY_BLOCK = 128
 #: Shingles of one side that a block of verified pairs holds in memory.
 VERIFY_SHINGLES = 4_000_000
-#: Members of a bucket in a block; larger buckets than SPLIT members apart are split by further bands first.
-BLOCK, SPLIT = 512, 2048
+#: Lists of at most SHORT members give pairs; longer ones are compared in blocks of BLOCK members.
+SHORT, BLOCK = 64, 512
+#: Ratio between the least sizes of neighbouring size classes.
+SIZE_STEP = 1.02
+#: A shingle with more than 1/HOT_TOKENS of all occurrences is hot; there are fewer than HOT_TOKENS of these.
+HOT_TOKENS = 1 << 17
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -172,62 +177,6 @@ def likely(pairs: DataFrame, limit: float, miss: float) -> DataFrame:
     return pairs.select("p", "id", "sp", "si").mapInArrow(run, f"p {kind}, id {kind}, m long")
 
 
-def likely_in_blocks(rows: DataFrame, limit: float, miss: float) -> DataFrame:
-    """rows(key, a, b, side, id, n, comp, main, sig, keys): main, p, id, n, m of pairs of a block's sides 0 and 1
-    that pass the test; p is the one of side 0, outside the bucket's component `main`, n its set's size.
-
-    A pair that shares several bands is compared only in the bucket of its smallest shared key (`keys` is null in
-    buckets made of several bands, where every pair is compared). Rows come sorted by (key, a, b, side); a block's rows are few (at most BLOCK members a side on average)."""
-    steps = least_agreements(limit, miss)
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def compare(key: int, block: list) -> dict[str, list]:
-        side = np.array([r[0] for r in block])
-        ids, n, comp = (np.array([r[k] for r in block]) for k in (1, 2, 3))
-        main = block[0][4]
-        sig = np.frombuffer(b"".join(r[5] for r in block), np.uint8).reshape(len(block), -1)
-        keys = np.array([r[6] for r in block], np.int64) if block[0][6] is not None else None
-        ones = np.flatnonzero(side == 1)
-        out = {c: [] for c in ("main", "p", "id", "n", "m")}
-        for x in np.flatnonzero(side == 0):
-            y = ones[(comp[ones] != comp[x]) & ((comp[ones] == main) | (ids[ones] > ids[x]))]
-            y = y[np.minimum(n[y], n[x]) >= limit * np.maximum(n[y], n[x]) - 1e-6]
-            if len(y) and keys is not None:
-                shared = np.where(keys[y] == keys[x], keys[x], np.iinfo(np.int64).max).min(axis=1)
-                y = y[shared == key]
-            if len(y):
-                y = y[(sig[y, : steps[0][0]] == sig[x, : steps[0][0]]).sum(axis=1) >= steps[0][1]]
-            if len(y):
-                hit, m = _agreeing(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], steps)
-                for c, v in (("main", main), ("p", block[x][1]), ("n", block[x][2])):
-                    out[c] += [v] * len(hit)
-                out["id"] += [block[i][1] for i in y[hit]]
-                out["m"] += m.tolist()
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, []
-
-        def done():
-            return pa.record_batch({c: pa.array(v, pa.int64() if c in "nm" else kind_) for c, v in compare(key[0], block).items()})
-
-        kind_ = pa.int64()
-        for batch in batches:
-            kind_ = batch.schema.field("id").type
-            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if key != (k, a, b):
-                    if block:
-                        yield done()
-                    key, block = (k, a, b), []
-                block.append(row)
-        if block:
-            yield done()
-
-    columns = ["key", "a", "b", "side", "id", "n", "comp", "main", "sig", "keys"]
-    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
-    return rows.select(*columns).mapInArrow(run, f"main {kind}, p {kind}, id {kind}, n long, m long")
-
-
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs(p, id) with 100 * intersection >= percent * union on the full sets of docs(id, text)."""
     blocks = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).cast("int").alias("blocks"))
@@ -264,54 +213,74 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return text.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def verified_in_blocks(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """verified() for pairs(main, p, id, n) where many p meet many id: those of one `main` are cut into blocks of at
-    most VERIFY_BLOCK p and id on average (fewer p if their sets are large), and a text goes to a block once."""
-    each = F.greatest(F.lit(1), F.least(F.lit(VERIFY_BLOCK), F.floor(VERIFY_SHINGLES / F.max("n"))))
-    na = pairs.groupBy("main", "p").agg(F.max("n").alias("n")).groupBy("main").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("na"))
-    nb = pairs.select("main", "id").distinct().groupBy("main").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).cast("int").alias("nb"))
-    large = na.join(nb, "main").where("na > 1 OR nb > 1")
-    place = lambda who, n: F.pmod(F.xxhash64(who), F.coalesce(F.col(n), F.lit(1))).cast("int")
-    dealt = pairs.join(small(large), "main", "left").select("main", place("p", "na").alias("a"), place("id", "nb").alias("b"), "p", "id")
-    block = ["main", "a", "b"]
-    heads = dealt.select(*block, F.col("p").alias("who")).distinct().select(*block, F.lit(0).alias("part"), "who", F.array().cast(f"array<{docs.schema['id'].dataType.simpleString()}>").alias("ps"))
-    members = dealt.groupBy(*block, "id").agg(F.collect_list("p").alias("ps")).select(*block, F.lit(1).alias("part"), F.col("id").alias("who"), "ps")
-    wanted = heads.unionByName(members)
-    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_IDS else wanted.hint("merge")
-    text = docs.join(wanted, F.col("id") == F.col("who")).select(*block, "part", "id", "ps", "text")
-    text = text.repartition(*block).sortWithinPartitions(*block, "part")
-    kind = docs.schema["id"].dataType.simpleString()
+def linked_in_blocks(rows: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """rows(key, a, b, side, id, comp, sig, text): u, v of links between members of sides 0 and 1 of a block (key, a, b)
+    that are in different components.
+
+    The sequential test and the verification run within the task, nothing is put out for pairs that are no links, and
+    once two components are linked no more of their pairs are compared. A text goes to a block once. Rows come sorted
+    by (key, a, b, side); the sets of side 0 are held in memory, those of side 1 pass by."""
+    steps = least_agreements(percent / 100, miss)
+    kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, {}
+        key, held, root = None, [], {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = []
-                rows = zip(*(batch.column(c).to_pylist() for c in ("main", "a", "b", "part", "id", "ps")), as_bytes(batch, "text"))
-                for main, a, b, part, who, ps, t in rows:
-                    if key != (main, a, b):
-                        key, sets = (main, a, b), {}
-                    h = shingles(t, k)
-                    if not len(h):
+                columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "side", "id", "comp", "sig")]
+                for *at, side, who, comp, sig, t in zip(*columns, as_bytes(batch, "text")):
+                    if key != at:
+                        key, held, root = at, [], {}
+                        matrix = None
+                    h, sig = shingles(t, k), np.frombuffer(sig, np.uint8)
+                    if side == 0:
+                        held.append((who, comp, h, sig))
                         continue
-                    if part == 0:
-                        sets.setdefault(who, []).append(h)
+                    if not held:
                         continue
-                    for p in ps:
-                        for s in sets.get(p, []):
-                            if 100 * min(len(s), len(h)) < percent * max(len(s), len(h)):
-                                continue
-                            both = len(np.intersect1d(s, h, assume_unique=True))
-                            if 100 * both >= percent * (len(s) + len(h) - both):
-                                found.append((p, who))
-                                break
-                yield pa.record_batch({"u": pa.array([x for x, _ in found], batch.schema.field("id").type), "v": pa.array([x for _, x in found], batch.schema.field("id").type)})
+                    if matrix is None:
+                        matrix, sizes = np.stack([x[3] for x in held]), np.array([len(x[2]) for x in held])
+                    near = np.flatnonzero(np.minimum(sizes, len(h)) * 100 >= np.maximum(sizes, len(h)) * percent)
+                    near = near[_agreeing(np.broadcast_to(sig, (len(near), len(sig))), matrix[near], steps)[0]]
+                    for n in near:
+                        other, c, s, _ = held[n]
+                        if find(c) == find(comp):
+                            continue
+                        both = len(np.intersect1d(s, h, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(h) - both):
+                            found.append((other, who))
+                            root[find(c)] = find(comp)
+                yield pa.record_batch({"u": pa.array([x for x, _ in found], to_arrow_type(kind)), "v": pa.array([x for _, x in found], to_arrow_type(kind))})
 
-    return text.mapInArrow(run, f"u {kind}, v {kind}")
+    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+    return rows.select("key", "a", "b", "side", "id", "comp", "sig", "text").mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}")
+
+
+def set_rows(docs: DataFrame, k: int) -> DataFrame:
+    """id, comp, n, digest, tokens of docs(id, comp, text): the shingle sets themselves."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, k) for t in as_bytes(batch, "text")]
+            digest = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            tokens = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+            return pa.record_batch({"id": batch.column("id"), "comp": batch.column("comp"), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array(digest, pa.binary()), "tokens": tokens})
+
+        return each
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_rows(docs.select("id", "comp", "text"), f"id {kind}, comp {kind}, n long, digest binary, tokens array<long>", "text", make)
 
 
 class NearDuplicates:
-    """One run over docs(id, text) with non-null ids."""
+    """One run over docs(id, text) with non-null ids of a type that can be ordered."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, miss: float):
         self.docs, self.k, self.percent, self.miss = docs, k, percent, miss
@@ -320,35 +289,30 @@ class NearDuplicates:
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, n, digest of every document; id, comp of the classes that are linked or share an id)."""
         ws = self.ws
-        sketch = ws.put(sketches(self.docs, self.k), "sketches")
-        sets = sketch.where("n > 0").select("id", "digest")
-        self.classes = ws.put(sets.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-        reps = sketch.join(self.classes.select("digest", F.col("rep").alias("id")), ["digest", "id"])
-        self.reps = ws.put(reps.select("id", "n", "sig", "keys"), "reps")
+        sketch = ws.put(sketches(self.docs, self.k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        sets = sketch.where("n > 0").select("id", "digest", "row")
+        self.classes = ws.put(sets.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first")).select("digest", F.col("first.id").alias("rep"), F.col("first.row").alias("row")), "classes")
+        self.reps = ws.put(sketch.join(self.classes.select("digest", "row"), ["digest", "row"]).select("id", "n", "digest", "sig", "keys"), "reps")
         self.members = sketch.select("id", "n", "digest")
         # Rows of one id that fall into several classes join these.
-        shared = sets.join(self.classes, "digest").select("id", "rep").distinct()
-        spread = shared.groupBy("id").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        self.links = ws.put(shared.join(spread, "id").where("rep <> u").select("u", F.col("rep").alias("v")), "links")
+        self.links = None
+        twice = sets.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+        if twice.limit(1).count():
+            shared = sets.select("id", "digest").join(self.classes, "digest").join(twice, "id").select("id", "rep").distinct()
+            spread = shared.groupBy("id").agg(F.min("rep").alias("u"))
+            self.links = ws.put(shared.join(spread, "id").where("rep <> u").select("u", F.col("rep").alias("v")), "links")
         self.comps = None
 
-        each = self.reps.select("id", "n", F.explode("keys").alias("key"))
+        each = self.reps.select("id", F.explode("keys").alias("key"))
         buckets = ws.put(each.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p <> last").select("key", "p"), "buckets")
-        inside = ws.put(each.join(buckets, "key").select("key", "id", "n", "p"), "inside")
+        # One row per class with all its shared buckets: whatever is known of a class is joined before these are taken apart.
+        held = ws.put(each.join(buckets, "key").groupBy("id").agg(F.collect_list(F.struct("key", "p")).alias("held")), "held")
         ws.drop(buckets)
-        pairs = ws.put(inside.where("p <> id").groupBy("p", "id").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-        best = pairs.groupBy("id").agg(F.max_by("p", F.struct("shared", -F.col("p"))).alias("p")).select("p", "id")
-        self.verify(self.tested(ws.put(best, "best")))
-        rest = self.apart(pairs)
-        if rest is not None:
-            alive = self.tested(rest)
-            # one pair for each two components first, then what is still apart
-            nearest = self.labelled(self.labelled(alive, "p", "cp"), "id", "ci").groupBy("cp", "ci").agg(F.max_by(F.struct("p", "id"), F.struct("m", "p", "id")).alias("x")).select("x.p", "x.id")
-            self.verify(ws.put(nearest, "nearest"))
-            rest = self.apart(alive)
-            if rest is not None:
-                self.verify(rest)
-        self.cross(inside.where("p <> id").select("key", F.col("key").alias("last"), "id", "n"), 1)
+        pairs = ws.put(held.select("id", F.explode("held.p").alias("p")).where("p <> id").groupBy("p", "id").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+        best = pairs.groupBy("id").agg(F.min_by("p", F.struct(-F.col("shared"), "p")).alias("p")).select("p", "id")
+        self.verify(self.tested(best))
+        ws.drop(pairs)
+        self.cross(held)
         return self.members, self.comps
 
     def labelled(self, df: DataFrame, column: str, out: str) -> DataFrame:
@@ -356,11 +320,6 @@ class NearDuplicates:
         c = F.broadcast(c) if self.linked <= BROADCAST_IDS else c
         return df.join(c, F.col(column) == F.col("__n"), "left").withColumn(out, F.coalesce("__c", F.col(column))).drop("__n", "__c")
 
-    def apart(self, pairs: DataFrame) -> DataFrame | None:
-        """Those of pairs(p, id) whose ends are in different components; None if there are none."""
-        out = self.ws.put(self.labelled(self.labelled(pairs, "p", "cp"), "id", "ci").where("cp <> ci").drop("cp", "ci"), "apart")
-        return out if out.count() else None
-
     def tested(self, pairs: DataFrame) -> DataFrame:
         """The sequential test of pairs(p, id): p, id, m of those that stay possible."""
         r = self.reps
@@ -368,47 +327,147 @@ class NearDuplicates:
         both = both.where(F.least("ni", "np") * 100 >= F.greatest("ni", "np") * self.percent)
         return self.ws.put(likely(both, self.percent / 100, self.miss).groupBy("p", "id").agg(F.max("m").alias("m")), "alive")
 
-    def verify(self, pairs: DataFrame, way=verified) -> None:
+    def verify(self, pairs: DataFrame) -> None:
         """Verify pairs exactly and bring the components up to date with the links found."""
-        found = self.ws.put(way(self.docs, pairs, self.k, self.percent), "links")
+        self.add(verified(self.docs, pairs, self.k, self.percent))
+
+    def add(self, links: DataFrame) -> None:
+        found = self.ws.put(links, "links")
         if self.comps is None or found.count():
-            edges = self.links.unionByName(found)
-            self.comps = components(self.ws, edges)
+            self.comps = components(self.ws, found if self.links is None else self.links.unionByName(found))
             self.linked = self.comps.count()
             self.links = self.comps.where("id <> comp").select(F.col("comp").alias("u"), F.col("id").alias("v"))
 
-    def cross(self, rows: DataFrame, depth: int) -> None:
-        """rows(key, last, id, n): find links between members of a bucket that are in different components."""
+    def cross(self, held: DataFrame) -> None:
+        """Find links between members of a bucket that are still in different components.
+
+        A link needs an overlap that leaves each end at most so many shingles outside; taken in one order for all, the
+        rarest first, the first shingles of both ends must then meet (prefix filter). Shingles that only one component
+        has come first of all: they can witness no link and only use the allowance up. So a copy that is too far from its group's middle meets no
+        one by the common shingles, and lists stay short however large the group. Partners of like size share a class, so that the allowance is tight."""
         ws = self.ws
-        rows = self.labelled(rows, "id", "comp")
-        share = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        stat = share.groupBy("key").agg(F.sum("c").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        stat = ws.put(stat.select("key", "k", "main", (F.col("k") - F.col("most")).alias("others")), "mixed")
+        named = ws.put(self.labelled(held, "id", "comp").select("id", "comp", F.col("held.key").alias("keys")), "named")
+        each = named.select("id", "comp", F.explode("keys").alias("key"))
+        mixed = each.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+        mixed = ws.put(mixed, "mixed")
+        if not mixed.count():
+            return
+        wanted = ws.put(each.join(small(mixed), "key", "left_semi").select("id", "comp").distinct(), "undecided")
+        wanted = small(wanted.select(F.col("id").alias("__id"), "comp"))
+        docs = self.docs.join(wanted, F.col("id") == F.col("__id")).select("id", "comp", "text")
+        sets = ws.put(set_rows(docs, self.k).where("n > 0").dropDuplicates(["id", "digest"]), "sets")
+        share, n = self.percent / 100, F.col("n")
+        size = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+        least = lambda c: F.greatest(F.lit(1), F.ceil(F.pow(F.lit(SIZE_STEP), c.cast("double")) * (1 - 1e-9)))
+        rows = self.ordered(sets, [], n - F.ceil(n * share - 1e-6) + 1).withColumn("own", size(n)).withColumn("partner", F.explode(F.sequence(size(F.greatest(F.lit(1.0), F.floor(n * share))), size(F.ceil(n / share)))))
+        # at least limit * (n + the class's least size) shingles are common to both
+        lists = self.first_tokens(rows, [], n - F.ceil(self.limit * (n + least(F.col("partner"))) - 1e-6) + 1)
+        self.short_lists(lists.where(F.col("k") <= SHORT), ["token", "low", "high"])
+        self.residual(sets, lists.where(F.col("k") > SHORT))
+
+    @property
+    def limit(self) -> float:
+        """Links have an overlap of at least limit * (sum of both sizes)."""
+        return self.percent / (100 + self.percent)
+
+    def ordered(self, sets: DataFrame, by: list[str], most: Column) -> DataFrame:
+        """sets(by, id, comp, digest, n, tokens, ...) with, in place of the tokens, `common`: those that several components
+        (of a group `by`) have, the rarest first, as (df, token), and `skip`: how many others there are (`all`: of all).
+        Rows that skip `most` tokens or more go."""
+        tokens = sets.select(*by, "id", "digest", "comp", F.explode("tokens").alias("token"))
+        df = tokens.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").drop("a", "b")
+        df = self.ws.put(df, "df")
+        # Shingles with more than 1/HOT_TOKENS of all occurrences number fewer than HOT_TOKENS: their rows pass by a
+        # broadcast, and in the join of the rest no key is hot.
+        least = int(sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]) // HOT_TOKENS
+        key = [*by, "token"]
+        hot = tokens.join(F.broadcast(df.where(F.col("df") > least).withColumnRenamed("df", "hot")), key, "left")
+        cold = hot.where("hot IS NULL").drop("hot").join(df.where(F.col("df") <= least).hint("merge"), key)
+        one = [*by, "id", "digest"]
+        common = hot.where("hot IS NOT NULL").withColumnRenamed("hot", "df").select(*one, "token", "df").unionByName(cold.select(*one, "token", "df"))
+        common = common.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+        out = sets.withColumn("all", F.size("tokens")).drop("tokens").join(common, one).withColumn("skip", F.col("all") - F.size("common"))
+        return self.ws.put(out.where(most - F.col("skip") > 0), "ordered")
+
+    def first_tokens(self, rows: DataFrame, by: list[str], room: Column) -> DataFrame:
+        """by, token, low, high (the size classes of both ends), id, comp, n, digest, own, k: the lists of the first `room`
+        tokens of each row of ordered() with `own` and `partner` classes, where several components meet; k is a list's length."""
+        rows = rows.withColumn("room", (room - F.col("skip")).cast("int")).where("room > 0")
+        rows = rows.select(*by, "id", "comp", "n", "digest", "own", F.least("own", "partner").alias("low"), F.greatest("own", "partner").alias("high"), F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x"))
+        lists, key = rows.select(*by, F.col("x.token").alias("token"), "low", "high", "id", "comp", "n", "digest", "own"), [*by, "token", "low", "high"]
+        stat = lists.groupBy(*key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").drop("x", "y")
+        return self.ws.put(lists.join(stat, key), "lists")
+
+    def residual(self, sets: DataFrame, lists: DataFrame) -> None:
+        """Members of longer lists, by their differences from a centre.
+
+        The members that meet in lists with one largest component are a group, a text of that component is its centre c.
+        With A shingles that c lacks and R that it lacks of c's, a set has the weight w = limit * A + (1 - limit) * R, and
+        two sets are linked just if their differences from c have at least w + w' - (1 - 2 * limit) * |c| in common. Those
+        within that bound of c are linked with it; any other pair must have differences in common, and the first of them by the same order as
+        before, so that near copies with edits of their own meet no one."""
+        ws, key, kind = self.ws, ["token", "low", "high"], sets.schema["id"].dataType.simpleString()
+        share = lists.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"))
+        main = share.groupBy(*key).agg(F.max_by("comp", F.struct("c", "comp")).alias("g"))
+        members = ws.put(lists.join(main, key).groupBy("g", "id", "digest", "comp").agg(F.count(F.lit(1)).alias("c")), "groups")
+        if not members.count():
+            return
+        centre = members.where("comp = g").groupBy("g").agg(F.max_by(F.struct("id", "digest"), F.struct("c", "id", "digest")).alias("x")).select("g", "x.id", "x.digest")
+        centre = ws.put(centre.join(sets.select("id", "digest", F.col("tokens").alias("centre")), ["id", "digest"]).select("g", F.col("id").alias("cid"), "centre"), "centres")
+        rows = members.drop("c", "comp").join(sets, ["id", "digest"]).join(small(centre, 1000), "g")
+        percent = self.percent
+
+        def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens, added, removed, size = [], [], [], []
+                for x, c in zip(batch.column("tokens"), batch.column("centre")):
+                    x, c = (np.asarray(v.values).view(np.uint64) for v in (x, c))
+                    a, r = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                    tokens.append(np.concatenate([_mix(a), _mix(~r)]).view(np.int64))
+                    added.append(len(a)), removed.append(len(r)), size.append(len(c))
+                columns = {k: batch.column(k) for k in ("g", "id", "cid", "digest", "n")}
+                yield pa.record_batch(columns | {"added": pa.array(added, pa.int64()), "removed": pa.array(removed, pa.int64()), "size": pa.array(size, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+        rows = rows.select("g", "id", "cid", "digest", "n", "tokens", "centre").mapInArrow(differences, f"g {kind}, id {kind}, cid {kind}, digest binary, n long, added long, removed long, size long, tokens array<long>")
+        rows = ws.put(rows, "differences")
+        both = F.col("size") - F.col("removed")
+        self.add(rows.where("id <> cid").where(both * 100 >= (F.col("n") + F.col("removed")) * percent).select(F.col("cid").alias("u"), F.col("id").alias("v")).distinct())
+        limit = self.limit
+        rows = self.ordered(ws.put(self.labelled(rows.drop("cid"), "id", "comp"), "again").where(F.size("tokens") > 0), ["g"], F.col("all"))
+        w = limit * F.col("added") + (1 - limit) * F.col("removed")
+        step, free = F.greatest(F.lit(1.0), F.col("size") / 50), (1 - 2 * limit) * F.col("size")
+        place = lambda x: F.floor(x / step).cast("int")
+        reach = (1 - limit) * (1 - 2 * limit) * (1 + 100 / percent) * F.col("n") + 1
+        rows = rows.withColumn("own", place(w)).withColumn("partner", F.explode(F.sequence(place(F.greatest(F.lit(0.0), w - reach)), place(w + reach))))
+        room = F.col("all") - F.greatest(F.lit(1), F.ceil(w + F.col("partner") * step - free - 1e-6)) + 1
+        lists = self.first_tokens(rows, ["g"], room)
+        self.short_lists(lists.where(F.col("k") <= SHORT), ["g", *key])
+        self.long_lists(lists.where(F.col("k") > SHORT), ["g", *key])
+
+    def short_lists(self, lists: DataFrame, key: list[str]) -> None:
+        """Every two members of lists of at most SHORT rows, by the sequential test, then exactly."""
+        right = lists.select(*key, F.col("id").alias("p"), F.col("comp").alias("cp"), F.col("n").alias("np"), F.col("own").alias("op"))
+        fit = (F.col("comp") < F.col("cp")) & (F.col("own") + F.col("op") == F.col("low") + F.col("high")) & (F.least("n", "np") * 100 >= F.greatest("n", "np") * self.percent)
+        pairs = self.ws.put(lists.join(right, key).where(fit).select("p", "id").distinct(), "short")
+        if pairs.limit(1).count():
+            self.verify(self.tested(pairs))
+
+    def long_lists(self, lists: DataFrame, key: list[str]) -> None:
+        """What is left of longer lists: members outside the largest component meet all members in blocks, within tasks."""
+        share = lists.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+        stat = share.groupBy(*key).agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.max("n").alias("longest"))
+        each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(VERIFY_SHINGLES) / F.col("longest"))))
+        stat = self.ws.put(stat.select(*key, "main", F.ceil((F.col("size") - F.col("most")) / each).cast("int").alias("na"), F.ceil(F.col("size") / BLOCK).cast("int").alias("nb")), "long")
         if not stat.count():
             return
-        mixed = ws.put(rows.join(stat, "key"), "members")
-        plain = (F.col("others") <= SPLIT) | F.lit(depth >= 3)
-        # Members outside the largest component form blocks on side 0; all members form blocks on side 1.
-        some = mixed.where(plain).withColumn("na", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int"))
-        place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        some = lists.join(stat, key).withColumn("key", F.xxhash64(*key))
+        place = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        zero = some.where("comp <> main").select("key", place("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "id", "n", "comp", "main")
-        one = some.select("key", every("na").alias("a"), place("nb").alias("b"), F.lit(1).alias("side"), "id", "n", "comp", "main")
-        sides = zero.unionByName(one).join(self.reps.select("id", "sig", (F.col("keys") if depth == 1 else F.lit(None).cast("array<long>")).alias("keys"), F.col("n").alias("__n")), "id").where("n = __n")
-        found = likely_in_blocks(sides, self.percent / 100, self.miss)
-        alive = ws.put(found.groupBy("p", "id").agg(F.min("main").alias("main"), F.max("n").alias("n"), F.max("m").alias("m")), "alive")
-        if alive.count():
-            likeliest = alive.groupBy("p").agg(F.max_by("id", F.struct("m", "id")).alias("id"))
-            self.verify(ws.put(likeliest, "likeliest"))
-            rest = self.apart(alive)
-            if rest is not None:
-                self.verify(rest, verified_in_blocks)
-        if depth < 3:
-            hot = mixed.where(~plain).select("key", "last", "id", "n")
-            if hot.limit(1).count():
-                finer = hot.join(self.reps.select("id", F.explode("keys").alias("next")), "id").where("next > last")
-                finer = finer.select(F.xxhash64("key", "next").alias("key"), F.col("next").alias("last"), "id", "n")
-                self.cross(ws.put(finer, "finer"), depth + 1)
+        zero = some.where("comp <> main").select("key", place("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "id", "digest", "comp")
+        one = some.select("key", every("na").alias("a"), place("nb").alias("b"), F.lit(1).alias("side"), "id", "digest", "comp")
+        sides = zero.unionByName(one).join(self.reps.select("id", "digest", "sig"), ["id", "digest"])
+        rows = sides.join(self.docs.select(F.col("id").alias("__id"), "text"), F.col("id") == F.col("__id")).drop("__id")
+        self.add(linked_in_blocks(rows, self.k, self.percent, self.miss))
 
 
 def verdicts(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import log2
 
 import duckdb
@@ -212,6 +212,28 @@ def brute_components(rows, k, percent):
     return [(i, len(s), find(i)) for i, s in sets]
 
 
+def dense_components(rows, k, percent):
+    """brute_components for many texts of few common shingles: all pairs by a matrix product."""
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)]
+    common = {}
+    for g, n in Counter(g for x in sets for g in x).items():
+        if n > 1:
+            common[g] = len(common)
+    m = np.zeros((len(sets), len(common)), np.float32)
+    for n, x in enumerate(sets):
+        m[n, [common[g] for g in x if g in common]] = 1
+    both, size = m @ m.T, np.array(list(map(len, sets)))
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    ids = np.array([i for i, _ in rows])
+    comp = np.arange(len(ids))
+    while True:
+        new = np.array([comp[x].min() for x in linked])
+        if (new == comp).all():
+            return {int(i): int(ids[c]) for i, c in zip(ids, comp)}
+        comp = new[new]
+
+
 def test_near_dedup(spark, sf1):
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in queries.QUERIES["op5_near_dedup"](spark, sf1).collect())
     want = sorted((i, n, c, i == c) for i, n, c in brute_components(docs_of(spark, sf1), 4, 80))
@@ -259,13 +281,39 @@ def test_components_both_ways(spark):
     assert one == rounds == sorted(root.items())
 
 
-def test_near_hot_buckets(spark, monkeypatch):
-    """Small blocks and an early split give the same result."""
+def test_near_hot_lists(spark, monkeypatch):
+    """Blocks in place of pairs, and no broadcast of hot shingles, give the same result."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "SPLIT", 4)
+    monkeypatch.setattr(near_dedup, "SHORT", 1)
+    monkeypatch.setattr(near_dedup, "HOT_TOKENS", 1)
     test_near_dedup_groups(spark)
 
 
+def test_near_group_at_the_limit(spark, monkeypatch):
+    """A group of 1000 texts whose similarities lie around 0.8, many just below it to the group's middle."""
+    monkeypatch.setattr(near_dedup, "SHORT", 16)
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(1000):
+        t = list(base)
+        for _ in range(int(rng.integers(2, 6))):
+            t[int(rng.integers(150))] = f"c{int(rng.integers(900))}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.id: r.component_id for r in near_dedup.verdicts(df, k=4).collect()}
+    want = dense_components(rows, 4, 80)
+    assert len(set(want.values())) > 30
+    assert sum(got[i] == c for i, c in want.items()) >= 0.999 * len(rows)
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["b", "a", "c", "aa"]), ("long", [-(2**63), 2**63 - 1, 0, 5])])
+def test_near_id_kinds(spark, kind, ids):
+    texts = ["one two three four five six", "One two  three four five six", "one two three four five six", "something else stands in this text"]
+    rows = near_dedup.verdicts(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")).collect()
+    assert {r.id: r.component_id for r in rows} == {i: min(ids[:3]) for i in ids[:3]} | {ids[3]: ids[3]}
+
+
 def test_near_edges(spark, odd):
     df, texts = odd
     rows = near_dedup.verdicts(df, k=5).collect()
