@@ -37,10 +37,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9)]
 
 #: Forms that are no secrets: UUIDs, dates and counters joined by signs, paths and slugs of plain words, placeholders.
+#: Repeated groups are possessive: they loop instead of recursing, so a slug of any length is matched in constant stack.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^[/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*$",
+    r"^[/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*+[/_=-]*$",
     r"(?i)example|sample|placeholder|changeme|xxxx|0123456789|abcdef0123",
 ]
 
@@ -75,7 +76,9 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
     table_ = F.array(*[F.lit(x) for x in xlog])
     size = len(_ALPHABET) + 1
     zero = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.element_at(codes, i - F.lit(window) + 1)).otherwise(F.lit(0)).alias("old"), i.alias("i")))
+    # The character that leaves stands `window` places before: a shifted copy, not a look-up, which would cost the whole text each.
+    left = F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.size(codes))
+    pairs = F.transform(F.arrays_zip(codes.alias("new"), left.alias("old")), lambda x, i: F.struct(x["new"].alias("new"), x["old"].alias("old"), i.alias("i")))
 
     def slide(acc, x):
         n_new, n_old = F.element_at(acc["n"], x["new"]), F.when(x["old"] > 0, F.element_at(acc["n"], x["old"])).otherwise(F.lit(0))
