@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -83,14 +84,30 @@ class ForcedBoundaryBPE:
 
     def merge(self, fragment: bytes) -> list[int]:
         """BPE of one fragment: the pair of lowest rank is merged, leftmost first, until none is left."""
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        while len(parts) > 1:
-            ranked = [(self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))]
-            best, at = min(ranked)
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+        parts: list[bytes | None] = [fragment[i : i + 1] for i in range(len(fragment))]
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank, heap = self.rank.get, []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (r := rank((parts[i], parts[j]))) is not None:
+                heappush(heap, (r, i, parts[i], parts[j]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, a, b = heappop(heap)
+            if parts[i] != a or after[i] >= n or parts[after[i]] != b:
+                continue  # one of the two has been merged since
+            j = after[i]
+            parts[i], parts[j], after[i] = a + b, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [self.ids[p] for p in parts if p is not None]
 
     def cut(self, word: bytes) -> list[bytes]:
         """The fragments between forced boundaries."""
