@@ -10,7 +10,8 @@ page order by two line feeds.
 
 Edge cases: null, empty or text-free html gives the empty text; unclosed, misnested or cut-off elements are
 closed where HTML closes them; repeated rows and null ids give a row each; an empty table gives an empty
-result; extra columns are ignored; nesting of any depth is handled without recursion.
+result; extra columns are ignored; nesting of any depth is handled without recursion, and broken pages (unclosed or
+unmatched elements, tags and quotes without an end) in linear time.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head", "title"}, {"html"})}
 _KEEPS_P = frozenset("label button select option textarea input object".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[!?][^>]*>)""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_QUOTED = re.compile(r"""([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+)>""")
 _NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -52,6 +54,7 @@ class Page:
         self.tag, self.parent, self.names = ["#page"], [-1], [()]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters of links
         stack, pieces, links, link, at = [0], [], 0, False, 0
+        places: dict[str, list[int]] = {}  # of each element, its places in the stack: closing looks nothing up by scanning
 
         def flush():
             nonlocal pieces, links
@@ -61,11 +64,40 @@ class Page:
                     self.runs.append((stack[-1], text, links))
                 pieces, links = [], 0
 
+        def close_from(i):
+            while len(stack) > i:
+                places[tag_of[stack.pop()]].pop()
+
+        def innermost(tags):
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         tag_of = self.tag
-        n = len(source)
+        n, last, quotes = len(source), source.rfind(">"), True
         while at < n:
-            m = _TOKEN.search(source, at)
-            text = source[at : m.start() if m else n]
+            m = _OPEN.search(source, at)
+            stop = m.start() if m else n
+            close = name = attributes = None
+            after = n
+            if m and m[1]:
+                end = source.find("-->", m.end())
+                after = end + 3 if end >= 0 else n
+            elif m and stop > last:
+                m, stop = None, n  # no tag can end any more
+            elif m:
+                e = _QUOTED.match(source, m.end()) if quotes and m[3] and not m[2] else None
+                if e:
+                    attributes, after = e[1], e.end()
+                else:
+                    # A quote that nothing ends: from here on every tag ends at the next ">", so no end is sought twice.
+                    quotes = quotes and not (m[3] and not m[2])
+                    end = source.find(">", m.end())
+                    if end < 0:
+                        m, stop = None, n
+                    else:
+                        attributes, after = source[m.end() : end], end + 1
+            if m and m[3]:
+                close, name = (m[3], None) if m[2] else (None, m[3])
+            text = source[at:stop]
             if text:
                 text = html.unescape(text) if "&" in text else text
                 pieces.append(text)
@@ -73,8 +105,7 @@ class Page:
                     links += len(text)
             if not m:
                 break
-            at = m.end()
-            close, name, attributes = m.group(1, 2, 3)
+            at = after
             if name:
                 name = name.lower()
                 if name == "br":
@@ -83,7 +114,7 @@ class Page:
                 if name in BLOCKS or name in RAW:
                     flush()
                     if name in RAW:
-                        end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                        end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at, max(last + 1, at))
                         stop, after = (end.start(), end.end()) if end else (n, n)
                         if name not in HIDDEN and (t := " ".join(html.unescape(source[at:stop]).split())):
                             self._node(name, stack[-1], attributes)
@@ -91,17 +122,14 @@ class Page:
                         at = after
                         continue
                     if name not in _KEEPS_P and tag_of[stack[-1]] == "p":
-                        stack.pop()
+                        close_from(len(stack) - 1)
                     if name in _CLOSES:
                         closed, bound = _CLOSES[name]
-                        for i in range(len(stack) - 1, 0, -1):
-                            if tag_of[stack[i]] in bound:
-                                break
-                            if tag_of[stack[i]] in closed:
-                                del stack[i:]
-                                break
+                        if (i := innermost(closed)) > innermost(bound):
+                            close_from(i)
                     self._node(name, stack[-1], attributes)
                     if name not in VOID:
+                        places.setdefault(name, []).append(len(stack))
                         stack.append(len(tag_of) - 1)
                     link = False
                 elif name == "a":
@@ -111,10 +139,8 @@ class Page:
                 if close in BLOCKS:
                     flush()
                     link = False
-                    for i in range(len(stack) - 1, 0, -1):
-                        if tag_of[stack[i]] == close:
-                            del stack[i:]
-                            break
+                    if places.get(close):
+                        close_from(places[close][-1])
                 elif close == "a":
                     link = False
         flush()
