@@ -5,7 +5,7 @@ New data is grouped by digest with map-side combine (a group of any size becomes
 shuffle), the groups are dedup'ed against the index by a sort-merge anti-join and the new digests are
 appended, bucketed and sorted by digest.
 
-Edge cases: null text = empty text, empty texts are equal to each other; a row without id can stay only if
+Ids may be of any type that can be ordered. Edge cases: null text = empty text, empty texts are equal to each other; a row without id can stay only if
 its group has no row with an id; ties in length go to the smallest id, repeated rows with the id that stays
 are all marked kept by verdicts() (they carry one id) and reduced to one row by survivors(); an empty table
 gives an empty result; extra columns are ignored, whatever their names.
@@ -38,19 +38,23 @@ class DigestIndex:
     """Digest -> id of the row that stays, in a table bucketed and sorted by digest.
 
     Buckets and order let the anti-join read the index without a shuffle or a sort. The table lives at a
-    path in the shared folder, so another session reopens it with the same path and bucket count."""
+    path in the shared folder, so another session reopens it with the same path, bucket count and type of ids. Its
+    name leaves the catalog with close(); the data stay."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
+    def __init__(self, spark: SparkSession, path: str, buckets: int, id_type: str = "bigint"):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = "bitweft_digests_" + hashlib.sha256(path.encode()).hexdigest()[:24]
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, chars INT, group_size BIGINT) "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {id_type}, chars INT, group_size BIGINT) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks."""
         return groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
@@ -67,21 +71,23 @@ class DigestIndex:
 
 def groups(rows: DataFrame) -> DataFrame:
     """digest, keep_id, chars, group_size: the longest original stays, then the smallest id (null last)."""
-    first = F.max(F.struct(F.col("id").isNotNull().alias("has"), F.col("chars"), (-F.col("id")).alias("neg"), F.col("id").alias("id")))
-    return rows.groupBy("digest").agg(first.alias("m"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("m.id").alias("keep_id"), F.col("m.chars").alias("chars"), "group_size")
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), (-F.col("chars")).alias("less"), F.col("id").alias("id")))
+    return rows.groupBy("digest").agg(first.alias("m"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("m.id").alias("keep_id"), (-F.col("m.less")).alias("chars"), "group_size")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """A row per document: id, keep_id, group_size, kept, text_sha256. Appends to `index` (else a new one)."""
+    """A row per document: id, keep_id, group_size (rows of docs), kept, text_sha256. Appends what `index` lacks (else a
+    new index is made, which goes with the application). A digest that the index knew before keeps the index's id,
+    so data that are added a second time append nothing and get the same verdicts."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
     rows = ws.put(digests(docs, id_col, text_col), "digests")
-    index = index or DigestIndex(spark, ws.path("index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    grouped = groups(rows)
-    if grouped.schema["keep_id"].dataType.simpleString() != "bigint":
-        grouped = grouped.withColumn("keep_id", F.col("keep_id").cast("long"))
+    own = index is None
+    if own:
+        index = DigestIndex(spark, ws.path("index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), rows.schema["id"].dataType.simpleString())
+    grouped = ws.put(groups(rows), "groups")
     index.append(index.unseen(grouped))
-    known = index.read().select("digest", "keep_id", "group_size")
+    known = grouped.hint("merge").join(index.read().select("digest", F.col("keep_id").alias("first_id")).hint("merge"), "digest").select("digest", F.col("first_id").alias("keep_id"), "group_size") if not own else grouped.select("digest", "keep_id", "group_size")
     # Hot groups number fewer than HOT_SHARE by their definition, so broadcasting them is bounded; in the
     # join of the rest no key has more than 1/HOT_SHARE of the rows.
     total = rows.count()
@@ -90,6 +96,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in
     on_hot = rows.join(F.broadcast(hot), "digest", "left")
     in_hot = on_hot.where(F.col("group_size").isNotNull())
     rest = on_hot.where(F.col("group_size").isNull()).drop("keep_id", "group_size").join(known.where(F.col("group_size") <= least), "digest")
+    if own:
+        index.close()
     return in_hot.select(*(cols := ["id", "digest", "keep_id", "group_size"])).unionByName(rest.select(*cols)).select(
         "id", "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -113,8 +121,14 @@ def rows_repeated(docs: DataFrame, id_col: str) -> bool:
     return bool(d.groupBy("id").count().where("count > 1").limit(1).count())
 
 
+#: Session setting: the path of a persistent digest index for the query; unset, each run starts with an empty one.
+INDEX_PATH = "spark.bitweft.digestIndex"
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+    path = spark.conf.get(INDEX_PATH, "")
+    index = DigestIndex(spark, path, int(spark.conf.get(INDEX_PATH + ".buckets", "64"))) if path else None
+    return verdicts(table(spark, sf_dir, "documents"), index=index).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """
