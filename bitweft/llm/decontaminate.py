@@ -17,8 +17,9 @@ Placeholders: a name is a capitalised word in the middle of a sentence; a number
 inner points or commas; a unit is a word of UNITS after a number. All else is lower-cased without signs.
 
 Edge cases: null or empty text matches nothing; a text (or item) of less than five words is one window;
-windows with less than two ordinary words are not indexed, an item without any matches nothing; rows with one
-id are one document; rows without id are reported clean; repeated items are one; an empty table on either side
+windows with less than two ordinary words are not indexed, an item without any matches documents that hold its words
+in a row with the same values (from five words on); rows with one id are one document; rows without id are reported
+clean; each text of an item id is matched on its own; repeated items are one; texts of any length are handled; an empty table on either side
 works; extra columns are ignored.
 """
 
@@ -50,7 +51,7 @@ def words(text: Column, typed: bool = True) -> Column:
     """Canonical words, with placeholders if typed, else with the values in their places (same count, same places)."""
     if typed:
         text = F.regexp_replace(text, r"\p{Lu}(?<=[^\s.!?:;][ \t].)[\p{L}'’-]*", NAME)
-        text = F.regexp_replace(text, r"\p{Nd}+(?:[.,]\p{Nd}+)*", NUMBER)
+        text = F.regexp_replace(text, r"\p{Nd}+(?:[.,]\p{Nd}+)*+", NUMBER)
         text = F.regexp_replace(text, rf"{NUMBER}([ \t]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}])", NUMBER + "$1" + UNIT)
         text = F.regexp_replace(text, rf"[^\p{{L}}{NAME}-{UNIT}\s]+", "")
     else:
@@ -78,24 +79,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: s
     ws = Workspace(spark, "decontaminate")
     d = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     b = pick(benchmark, item=item_col, text=item_text_col).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    items = ws.put(b.groupBy("item").agg(F.min("text").alias("text")).select("item", words(F.col("text")).alias("words"), words(F.col("text"), typed=False).alias("values")), "items")
+    # Every text of an item is an item of its own until the end: (item, digest of its text).
+    b = b.select(F.struct("item", F.md5("text").alias("text")).alias("item"), "text")
+    items = ws.put(b.groupBy("item").agg(F.first("text").alias("text")).select("item", words(F.col("text")).alias("words"), words(F.col("text"), typed=False).alias("values")), "items")
     index = window_rows(items.select(F.col("item").alias("id"), "words")).where("literals >= 2")
     index = index.select(F.col("id").alias("item"), F.col("at").alias("t"), "hash")
     index = ws.put(index.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item"))), "index")
     rows = window_rows(d.select("id", words(F.col("text")).alias("words"))).select("id", F.col("at").alias("p"), "hash")
     met = rows.join(small(index, BROADCAST_WINDOWS), "hash")
-    # How many windows of the item the document holds, and on which relative place most of them lie.
+    # Which windows of the item the document holds on each relative place.
     per_place = met.groupBy("id", "item", (F.col("p") - F.col("t")).alias("shift")).agg(F.collect_set("t").alias("ts"), F.max("of").alias("of"))
-    per_item = per_place.groupBy("id", "item").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.max_by("shift", F.struct(F.size("ts"), -F.col("shift"))).alias("shift"), F.collect_list("shift").alias("shifts"), F.max("of").alias("of"))
-    per_item = ws.put(per_item.select("id", "item", "shift", "shifts", (F.size("ts") / F.col("of")).alias("containment")), "met")
-    found = per_item.where(F.col("containment") >= least).drop("shifts")
+    places = F.collect_list(F.struct(F.col("shift").alias("s"), F.col("ts").alias("ts")))
+    per_item = per_place.groupBy("id", "item").agg(places.alias("places"), F.max("of").alias("of"))
+    per_item = per_item.withColumn("ts", F.array_distinct(F.flatten("places.ts"))).withColumn("shifts", F.col("places.s"))
+    per_item = ws.put(per_item.select("id", "item", "places", "shifts", "of", (F.size("ts") / F.col("of")).alias("containment")), "met")
+    found = per_item.where(F.col("containment") >= least)
     slotted = items.select("item", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_slot(F.element_at("words", i + 1))).alias("slots"), "words", "values").where(F.size("words") > 0).where(F.size("slots") > 0)
     to_check = ws.put(found.join(slotted, "item"), "slots")
-    held = consistent(d, to_check) if to_check.limit(1).count() else None
-    clean = found.join(to_check.select("id", "item"), ["id", "item"], "left_anti").select("id", "item", "containment") if held is not None else found.select("id", "item", "containment")
-    whole = ws.put(clean.unionByName(held), "whole") if held is not None else clean
-    rest = ws.put(per_item.join(whole.select("id", "item"), ["id", "item"], "left_anti").drop("shift"), "rest")
-    return whole.unionByName(partial(d, rest, items)) if rest.limit(1).count() else whole
+    pairs = ["id", "item", "containment"]
+    whole = found.join(to_check.select("id", "item"), ["id", "item"], "left_anti").select(*pairs)
+    if to_check.limit(1).count():
+        whole = ws.put(whole.unionByName(consistent(d, to_check, least)), "whole")
+    rest = ws.put(per_item.join(whole.select("id", "item"), ["id", "item"], "left_anti").select("id", "item", "shifts", "containment"), "rest")
+    if rest.limit(1).count():
+        whole = whole.unionByName(partial(d, rest, items))
+    bare = ws.put(items.join(index.select("item").distinct(), "item", "left_anti").where(F.size("values") >= WORDS).select("item", "values"), "bare")
+    if bare.limit(1).count():
+        whole = whole.unionByName(verbatim(d, bare))
+    return whole.groupBy("id", F.col("item.item").alias("item")).agg(F.max("containment").alias("containment"))
+
+
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """For items(item, values) that have no indexed window (numbers and names only): the documents where their words stand
+    in a row with the same values. Windows of the values meet by hash, the whole sequence is then compared."""
+    rows = window_rows(docs.select("id", words(F.col("text"), typed=False).alias("words"))).select("id", F.col("at").alias("p"), "hash")
+    first = window_rows(items.select(F.col("item").alias("id"), F.col("values").alias("words"))).where("at = 0").select(F.col("id").alias("item"), "hash")
+    met = rows.join(small(first, BROADCAST_WINDOWS), "hash").groupBy("id", "item").agg(F.collect_set("p").alias("ps"))
+    text = docs.select("id", words(F.col("text"), typed=False).alias("dv"))
+    both = met.join(small(items, 50_000), "item").join(text, "id")
+    same = F.exists("ps", lambda p: F.slice("dv", p + 1, F.size("values")) == F.col("values"))
+    return both.where(same).groupBy("id", "item").agg(F.lit(1.0).alias("containment"))
 
 
 def partial(docs: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
@@ -135,17 +158,29 @@ def partial(docs: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
     return both.where(ok).groupBy("id", "item").agg(F.max("containment").alias("containment"))
 
 
-def consistent(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of found(id, item, shift, containment, slots, words, values) whose slots are filled consistently."""
+def consistent(docs: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Those of found(id, item, places, of, containment, slots, words, values) that hold at least `least` of the windows in
+    some alignment with consistently filled slots, or whose best alignment is consistent if none holds so many.
+
+    An alignment is a relative place and those up to MOVED words beside it, as words may be put in or left out. Slots
+    count where they stand in or beside a window that is held at that place."""
     text = docs.join(small(found.select(F.col("id").alias("__id")).distinct()), F.col("id") == F.col("__id"), "left_semi")
     text = text.select("id", words(F.col("text")).alias("dw"), words(F.col("text"), typed=False).alias("dv"))
     both = text.join(small(found, 50_000), "id")
-    at = lambda i: i + F.col("shift") + 1
-    inside = F.filter("slots", lambda i: (at(i) >= 1) & (at(i) <= F.size("dw")) & (F.get("dw", at(i) - 1) == F.element_at("words", i + 1)))
-    pairs = F.transform(inside, lambda i: F.struct(F.element_at("values", i + 1).alias("a"), F.get("dv", at(i) - 1).alias("b")))
-    both = both.withColumn("pairs", F.array_distinct(pairs))
-    ok = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    return both.where(ok).groupBy("id", "item").agg(F.max("containment").alias("containment"))
+    beside = lambda a: F.filter("places", lambda b: F.abs(a["s"] - b["s"]) <= MOVED)
+    held = F.transform("places", lambda a: F.struct(F.size(F.array_distinct(F.flatten(F.transform(beside(a), lambda b: b["ts"])))).alias("n"), beside(a).alias("near")))
+    both = both.withColumn("held", held).withColumn("most", F.array_max(F.transform("held", lambda h: h["n"])))
+
+    def pairs(b: Column) -> Column:
+        inside = F.filter("slots", lambda i: (F.get("dw", i + b["s"]) == F.get("words", i)) & F.exists(b["ts"], lambda t: i.between(t - (WORDS - 1), t + 2 * (WORDS - 1))))
+        return F.transform(inside, lambda i: F.struct(F.get("values", i).alias("a"), F.get("dv", i + b["s"]).alias("b")))
+
+    def fits(h: Column) -> Column:
+        every = F.array_distinct(F.flatten(F.transform(h["near"], pairs)))
+        return F.size(every) == F.size(F.array_distinct(F.transform(every, lambda x: x["a"])))
+
+    enough = lambda h: (h["n"] >= F.col("of") * least) | (h["n"] == F.col("most"))
+    return both.where(F.exists("held", lambda h: enough(h) & fits(h))).groupBy("id", "item").agg(F.max("containment").alias("containment"))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

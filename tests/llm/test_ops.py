@@ -122,6 +122,27 @@ def test_digest_index_appends(spark, tmp_path):
     assert again.read().count() == 3
 
 
+def test_digest_index_known(spark, tmp_path):
+    """A second run over the same data finds all digests known, appends nothing and gives the same verdicts."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, None)], "doc_id long, text string")
+    path = f"file://{tmp_path}/known-{tmp_path.name}"
+    once = sorted(map(tuple, exact_dedup.verdicts(docs, index=exact_dedup.DigestIndex(spark, path, 4)).collect()))
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    assert index.unseen(exact_dedup.groups(exact_dedup.digests(docs))).count() == 0
+    assert sorted(map(tuple, exact_dedup.verdicts(docs, index=index).collect())) == once and index.read().count() == 3
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.verdicts(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["b", "a", "c"]), ("long", [-(2**63), 2**63 - 1, 0]), ("int", [3, 1, 2])])
+def test_exact_id_kinds(spark, kind, ids):
+    df = spark.createDataFrame(list(zip(ids, ["a  b", "a b ", "other"])), f"doc_id {kind}, text string")
+    rows = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.verdicts(df).collect()}
+    keep = min(ids[:2])
+    assert rows == {ids[0]: (keep, 2, keep == ids[0]), ids[1]: (keep, 2, keep == ids[1]), ids[2]: (ids[2], 1, True)}
+
+
 def test_url_edges(spark):
     rows = [(1, "http://WWW.Example.ORG/es/1?x"), (2, "http://example.org/en/148"), (3, "https://a.com/fr/"), (4, "nothing"), (5, None), (6, "http://org"), (7, "http://x.notexample.org/es/"), (8, "ftp://b.com/de/x#y"), (8, "ftp://b.com/de/x#y"), (9, "http://a.b.example.org:80/es/"), (None, "http://com/fr/x")]
     df = spark.createDataFrame([(a, b, "c", "d") for a, b in rows], "page_id long, url string, host string, rule string")
@@ -181,6 +202,15 @@ def test_secret_cases(spark, odd):
     assert secrets.scan(odd[0].limit(0)).count() == 0
 
 
+def test_very_long_runs(spark):
+    """A megabyte of slugs and of numbers is matched without recursion."""
+    slugs, numbers = "ab-1-" * 200_000, "1.1," * 250_000
+    df = spark.createDataFrame([(1, slugs), (2, numbers), (3, "x " + slugs[:100_000] + "Zx9+/abQ1q83Hf0sLzP4vBn7TyXw2Kd9RmE5jU6cA")], "doc_id long, text string")
+    assert {r.id: len(r.spans) for r in secrets.scan(df).collect()} == {1: 0, 2: 0, 3: 1}
+    b = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    assert [r.kept for r in decontaminate.verdicts(df, b).collect()] == [True] * 3
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
@@ -373,6 +403,11 @@ def test_bpe_cases():
     for w in [" the", "Entwicklung", "xqzj", "naïve"]:
         assert own.merge(w.encode()) == tok.encode(w, add_special_tokens=False).ids
         assert b"".join(own.cut(w.encode())) == w.encode()
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 60, 400):
+        w = "".join(rng.choice(list("aeinorst"), n))
+        assert own.merge(w.encode()) == tok.encode(w, add_special_tokens=False).ids
+    assert len(own.merge(b"abracadabra" * 20_000)) > 0
 
 
 # 7 ------------------------------------------------------------------------------------------------
@@ -408,6 +443,16 @@ def test_html_edges(spark):
     assert isinstance(model.text("<div>" * 30_000 + "deep"), str)
     for junk in ("<", "<a", "a < b > c", '<p class="x>y', "</p></div>", "<!-- open", "<script>never closed", "&#0; &#xD800; &bogus;"):
         model.text(junk)
+    import time
+
+    began = time.time()
+    for broken in ("<div>" * 60_000 + "</p>" * 60_000, "<ul><li>" + "<div>" * 40_000 + "<li>x" * 40_000, "</a" * 200_000, "</a" * 100_000 + ">", '<a "' * 100_001 + ">", "<p class='x" * 50_001 + ">", "<script" * 100_000, "<!--" * 100_000):
+        model.text(broken)
+    assert time.time() - began < 40
+    long = "<article>" + "<p>Some plain words stand here in a row.</p>" * 20_000 + "</article>"
+    assert model.text(long).count("\n\n") == 19_999
+    clash = spark.createDataFrame([(1, "u", page, "x", "y")], "page_id long, url string, html string, HTML string, id string")
+    assert html_extract.extract(clash).first().text == model.text(page)
     df = spark.createDataFrame([(1, "u", page), (None, None, None), (1, "u", page)], "page_id long, url string, html string")
     assert html_extract.extract(df).count() == 3 and html_extract.extract(df.limit(0)).count() == 0
 
@@ -525,6 +570,18 @@ def test_decontaminate_slots(spark, odd):
     assert decontaminate.verdicts(df.limit(0), b).count() == 0 and decontaminate.verdicts(df, b.limit(0)).count() == len(texts)
 
 
+def test_decontaminate_alignments(spark):
+    """Two texts of an item, an inconsistent copy before a consistent one, a word put in, and items of numbers only."""
+    item = "yesterday my friend Alice bought 3 kg of apples and then Alice ate 2 apples"
+    good, bad = "so yesterday my friend Carol bought 7 lb of apples and then Carol ate 5 apples", "so yesterday my friend Carol bought 7 lb of apples and then Erin ate 5 apples"
+    moved = "so yesterday my friend Carol bought just 7 lb of apples and then Carol ate 5 apples"
+    items = [(1, item), (1, "every river runs slowly past the old grey stone mill"), (2, "12 7 33 4 95 16 2"), (3, "5")]
+    docs = [(1, good), (2, bad), (3, bad + " later " + good), (4, moved), (5, "here every river runs slowly past the old grey stone mill"), (6, "sum of 12, 7, 33, 4, 95, 16 and 2"), (7, "sum of 12, 7, 33, 4, 95, 16, 2 and more"), (8, "12 7 33 4 95 16 3"), (9, "5 and more")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: r["items"] for r in decontaminate.verdicts(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got == {1: [1], 2: [], 3: [1], 4: [1], 5: [1], 6: [], 7: [2], 8: [], 9: []}
+
+
 def brute_partial(doc, item):
     """Half of the windows, 13 equal words in a row, or 0.8 of the words in places moved by up to 3; without slots."""
     n = len(item)
