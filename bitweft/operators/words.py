@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitweft.session import Workspace
+
 
 def dictionary(tokens: DataFrame, keys: list[str], key: str) -> DataFrame:
     """For tokens(<keys order>, key): key, key_id in first-seen order, key_count.
 
-    Ids come from the order of first places: a grouped minimum, then a rank over the distinct keys only."""
+    Ids come from the order of first places: a grouped minimum, then a rank over the distinct keys only. A null key is a
+    key like any other; ties in first place (one token list with equal keys) do not occur, as places are distinct."""
     first = tokens.groupBy(key).agg(F.min(F.struct(*keys)).alias("first"), F.count(F.lit(1)).alias("key_count"))
-    # A range partition by first place and per-partition offsets give dense ids without one sorted task.
-    sorted_ = first.repartitionByRange("first").sortWithinPartitions("first").withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id())
-    sorted_ = sorted_.withColumn("__i", F.col("__r") - (F.col("__p").cast("long") * (1 << 33)))
-    sizes = sorted_.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # Dense ids without one sorted task: the rows of a range partitioning by first place are written with their partition
+    # and place, so that the offsets of the partitions come from the very rows that get them.
+    ws = Workspace(tokens.sparkSession, "dictionary")
+    dealt = first.repartitionByRange("first").sortWithinPartitions("first").withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id())
+    dealt = ws.put(dealt.select(key, "key_count", "__p", (F.col("__r") - F.shiftleft(F.col("__p").cast("long"), 33)).alias("__i")), "sorted")
+    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row per partition, so the window is as small as their number
     offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__o"))
-    return sorted_.join(F.broadcast(offsets), "__p").select(key, (F.col("__i") + F.col("__o")).alias("key_id"), "key_count")
+    return dealt.join(F.broadcast(offsets), "__p").select(key, (F.col("__i") + F.col("__o")).alias("key_id"), "key_count")
 
 
 def cumulative(counts: DataFrame, group: list[str], symbol: str, count: str) -> DataFrame:

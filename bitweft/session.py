@@ -44,12 +44,14 @@ class Workspace:
     """Written tables of one run below the shared folder: they cut lineage and survive lost executors.
 
     put() writes and rereads, drop() deletes as soon as nothing reads a table any more; what a lazy
-    result still reads stays until close()."""
+    result still reads stays until close() or the end of the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/bitweft/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        path, fs = self._at(self.root)
+        fs.deleteOnExit(path)  # whatever is not dropped before goes when the application ends
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -70,10 +72,13 @@ class Workspace:
     def close(self) -> None:
         self._delete(self.root)
 
+    def _at(self, path: str) -> tuple:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._at(path)
+        fs.delete(p, True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
