@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands for the sentinel in plans on characters (a private-use character; texts are taken not to hold it).
-SENTINEL = "\uf8ff"
+#: Stands for the sentinel in plans on characters: more than one character, so no symbol of a text can equal it.
+SENTINEL = "<end>"
 #: The sentinel's number in plans on integer symbols (fixed value of the file formats).
 SENTINEL_SYMBOL = 2147483646
 
@@ -32,6 +34,20 @@ def count_class(text: Column, name: str) -> Column:
     return F.regexp_count(text, F.lit(CLASSES[name])).cast("long")
 
 
+def count_classes(text: Column) -> Column:
+    """A struct of the counts of all CLASSES: one pass gives each ASCII character a letter for the set of classes it is
+    in, then each letter is counted by the length that the text loses without it."""
+    sets: dict[tuple[str, ...], list[str]] = {}
+    for c in map(chr, range(128)):
+        sets.setdefault(tuple(n for n, p in CLASSES.items() if re.match(p, c)), []).append(c)
+    letters = dict(zip(sets, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", strict=False))
+    to = {c: letters[k] for k, members in sets.items() for c in members}
+    coded = F.array(F.translate(text, "".join(to), "".join(to.values())))
+    of = lambda t, x: (F.char_length(t) - F.char_length(F.replace(t, F.lit(x), F.lit("")))).cast("long")
+    each = F.transform(coded, lambda t: F.struct(*[of(t, x).alias(x) for x in letters.values()]))
+    return F.transform(each, lambda r: F.struct(*[sum((r[x] for k, x in letters.items() if n in k), F.lit(0).cast("long")).alias(n) for n in CLASSES]))[0]
+
+
 def escape(text: Column) -> Column:
     r"""Escaped form: a backslash is doubled, every other character outside printable ASCII becomes \number\."""
     one = lambda c: F.when(c == "\\", "\\\\").when(c.rlike(r"^[\x20-\x7E\n\t]$"), c).otherwise(F.concat(F.lit("\\"), F.ascii(c).cast("string"), F.lit("\\")))
@@ -65,6 +81,15 @@ def to_ascii(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
 
 
+def drop_last_eoln(text: Column) -> Column:
+    """The text without a line feed at its end (one, if there are several)."""
+    return F.regexp_replace(text, r"\n\z", "")
+
+
+def drop_eolns(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit(""))
+
+
 def range_bits(low: Column, high: Column, total: Column) -> Column:
     """Cost of a coding range; the whole range costs nothing."""
     return F.when((low == 0) & (high == total), F.lit(0.0)).otherwise(-F.log2((high - low) / total))

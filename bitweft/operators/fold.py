@@ -216,11 +216,17 @@ def eol_choice(text: str, model: AdaptivePPM) -> tuple[bytes, float, int]:
     return coder.done(), cost, spaces
 
 
+def lzma_pack(raw: bytes) -> bytes:
+    """Level 9 with a dictionary no larger than the text needs: the level's own 64 MB would cost some 670 MB for each text."""
+    size = min(1 << 26, max(1 << 12, 1 << (len(raw) - 1).bit_length() if raw else 0))
+    return lzma.compress(raw, filters=[{"id": lzma.FILTER_LZMA2, "preset": 9, "dict_size": size}])
+
+
 CODECS = {
     "gzip": (lambda b: gzip.compress(b, 9, mtime=0), gzip.decompress),
     "zlib": (lambda b: zlib.compress(b, 9), zlib.decompress),
     "bz2": (lambda b: bz2.compress(b, 9), bz2.decompress),
-    "lzma": (lambda b: lzma.compress(b, preset=9), lzma.decompress),
+    "lzma": (lzma_pack, lzma.decompress),
 }
 
 
@@ -277,6 +283,22 @@ def adaptive_bits(df: DataFrame, key: str, text: str = "text", order: int = 3, a
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, bits double")
 
 
+def adaptive_symbol_bits(df: DataFrame, key: str, text: str = "text", order: int = 3, alphabet: int = 65536) -> DataFrame:
+    """key, pos, bits: the cost of each code point of a text under a model that starts empty."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, t in zip(b[key], b[text]):
+                m, costs = AdaptivePPM(order, alphabet), []
+                for s in map(ord, t or ""):
+                    costs.append(m.bits(s))
+                    m.learn(s)
+                yield pd.DataFrame({key: pd.Series([k] * len(costs), dtype=b[key].dtype), "pos": pd.Series(range(len(costs)), dtype="int64"), "bits": pd.Series(costs, dtype="float64")})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, pos long, bits double")
+
+
 def rank_pack(ranks: list[int]) -> bytes:
     """Ranks as 32-bit integers, bz2-compressed; rank_unpack is its inverse."""
     return bz2.compress(struct.pack(f"<{len(ranks)}i", *ranks))

@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitweft.functions.text import SENTINEL, chars
-from bitweft.session import Workspace
+from bitweft.session import Workspace, small
 
 INCREMENT = {"C": 1, "D": 2}
 
+#: Rows of a level (some 20 MB) up to which it is broadcast; larger ones are joined by a shuffle.
+LEVEL_ROWS = 200_000
+#: Models up to this number are broadcast beside the distinct symbols that are asked for.
+MODELS = 10_000
+
 
 def check(order: int, escape: str, alphabet: int) -> None:
     if escape not in INCREMENT:
@@ -81,6 +86,8 @@ def levels(targets: DataFrame, counts: DataFrame, order: int) -> DataFrame:
         out = out.withColumn("__at", at)
         st = stats.where(F.col("k") == k).where("occ >= 2" if k else "true").select(F.col("model").alias("__m"), F.col("ctx").alias("__x"), *[F.col(c).alias(f"{c}{k}") for c in ("types", "total", "shadow", "plain")])
         ct = counts.where(F.col("k") == k).select(F.col("model").alias("__m2"), F.col("ctx").alias("__x2"), F.col("s").alias("__s2"), F.col("cnt").alias(f"cnt{k}"))
+        # Levels of few rows (order 0 has one context a model) go to every executor after a count: the targets are not shuffled for them.
+        st, ct = small(st, LEVEL_ROWS), small(ct, LEVEL_ROWS)
         out = out.join(st, (F.col("model") == F.col("__m")) & (F.col("__at") == F.col("__x")), "left").drop("__m", "__x")
         out = out.join(ct, (F.col("model") == F.col("__m2")) & (F.col("__at") == F.col("__x2")) & (F.col("s") == F.col("__s2")), "left").drop("__m2", "__x2", "__s2")
     return out.drop("__at")
@@ -119,7 +126,7 @@ def codelengths(df: DataFrame, key: str, counts: DataFrame, order: int, alphabet
     g = gram_counts(df, [key], order, text, sentinel)
     models = counts.select("model").distinct()
     g = Workspace(df.sparkSession, "grams").put(g, "grams")
-    costs = score(g.select("ctx", "s").distinct().crossJoin(F.broadcast(models)), counts, order, alphabet)
+    costs = score(g.select("ctx", "s").distinct().crossJoin(small(models, MODELS)), counts, order, alphabet)
     return g.join(costs, ["ctx", "s"]).groupBy(key, "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("symbols"))
 
 
@@ -127,7 +134,7 @@ def per_symbol(df: DataFrame, keys: list[str], counts: DataFrame, order: int, al
     """keys, pos, s, model, bits: the cost of every symbol under every model."""
     rows = positions(df, keys, order, text, sentinel).withColumn("ctx", F.coalesce(*[context(k) for k in range(order, -1, -1)]))
     models = counts.select("model").distinct()
-    costs = score(rows.select("ctx", "s").distinct().crossJoin(F.broadcast(models)), counts, order, alphabet)
+    costs = score(rows.select("ctx", "s").distinct().crossJoin(small(models, MODELS)), counts, order, alphabet)
     return rows.select(*keys, "pos", "ctx", "s").join(costs, ["ctx", "s"]).select(*keys, "pos", "s", "model", "bits")
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 
 from bitweft.functions.text import SENTINEL
 
+#: Rows of the count tables that a worker may hold (some 1 GB in Python).
+MODEL_ROWS = 4_000_000
+
 
 @dataclass
 class StaticModels:
@@ -28,7 +31,9 @@ class StaticModels:
 
     @classmethod
     def of(cls, counts: DataFrame, order: int, alphabet: int = 65536) -> StaticModels:
-        """Reads the tables to broadcast them; models for rewriting are of low order and bounded by their alphabet."""
+        """Reads the tables to broadcast them, after a count: models of more than MODEL_ROWS rows are refused."""
+        if counts.limit(MODEL_ROWS + 1).count() > MODEL_ROWS:
+            raise ValueError(f"models for rewriting are held in each worker and have at most {MODEL_ROWS} rows; take a lower order")
         out = cls(order, alphabet)
         for r in counts.collect():
             out.counts.setdefault(r.model, {}).setdefault(r.ctx, {})[r.s] = r.cnt

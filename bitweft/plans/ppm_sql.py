@@ -3,7 +3,7 @@ definition (row numbers), not the closed form that the Spark plan uses."""
 
 from __future__ import annotations
 
-S = "chr(63743)"
+S = "'<end>'"
 
 
 def symbols(name: str, source: str, keys: str, order: int, sentinel: bool = True) -> str:

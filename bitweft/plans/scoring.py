@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitweft.functions import text as T
-from bitweft.operators import ppm
+from bitweft.operators import fold, ppm
 from bitweft.plans import ppm_sql as Q
 from bitweft.plans.base import query
 from bitweft.plans.models import TURNS, turns
@@ -207,17 +207,54 @@ def toxic_id_labels(spark, sf):
     return of_toxic_id_labels(d, costs)
 
 
-_BOTH = per_symbol_sql(_ITEMS, "item_id", 1)
+_ALL = "SELECT 'all' AS model, conv_id * 1000 + turn AS doc, text FROM conversations"
 
 
-@query(f"""{_BOTH}, w AS (SELECT item_id, pos, max(CASE WHEN model = 'user' THEN bits END) AS t, max(CASE WHEN model = 'assistant' THEN bits END) AS c FROM ps GROUP BY ALL)
-SELECT item_id, round(sum(t) / count(*), 6) AS cross_entropy, round(sum(abs(t - c)), 4) AS absolute, round(sum(t - c), 4) AS signed, round(sum(abs(t + c - 2 * least(t, c))), 4) AS radius FROM w GROUP BY item_id""")
+def metrics_sql() -> str:
+    topic = per_symbol_sql(_ITEMS, "item_id", 1, sentinel=False)
+    return f"""WITH a AS ({topic} SELECT * FROM ps), b AS ({topic.replace(TURNS, _ALL)} SELECT * FROM ps)
+SELECT a.item_id, a.model AS topic, round(sum(a.bits), 4) AS cross_entropy, round(sum(abs(a.bits - b.bits)), 4) AS topic_collection, round(sum(a.bits - b.bits), 4) AS topic_collection_signed FROM a JOIN b ON b.item_id = a.item_id AND b.pos = a.pos GROUP BY ALL"""
+
+
+def topic_and_collection(spark, sf):
+    """item_id, pos, topic, t, c: costs of each symbol under each role's model and under the model of all turns."""
+    b, t = table(spark, sf, "benchmark"), turns(spark, sf)
+    topic = ppm.per_symbol(b, ["item_id"], role_model(spark, sf, 1), 1, sentinel=False).select("item_id", "pos", F.col("model").alias("topic"), F.col("bits").alias("t"))
+    whole = ppm.per_symbol(b, ["item_id"], ppm.train(t.withColumn("model", F.lit("all")), 1), 1, sentinel=False)
+    return topic.join(whole.select("item_id", "pos", F.col("bits").alias("c")), ["item_id", "pos"])
+
+
+@query(metrics_sql())
 def divergence_metrics(spark, sf):
-    """Distances between two models over a text: cross-entropy, absolute and signed difference, radius around the cheaper."""
-    p = ppm.per_symbol(table(spark, sf, "benchmark"), ["item_id"], role_model(spark, sf, 1), 1)
-    w = p.groupBy("item_id", "pos").agg(F.max(F.when(F.col("model") == "user", F.col("bits"))).alias("t"), F.max(F.when(F.col("model") == "assistant", F.col("bits"))).alias("c"))
+    """Cross-entropy under each topic's model, and its absolute and signed distance from the collection's model."""
     t, c = F.col("t"), F.col("c")
-    return w.groupBy("item_id").agg(F.round(F.sum("t") / F.count(F.lit(1)), 6).alias("cross_entropy"), F.round(F.sum(F.abs(t - c)), 4).alias("absolute"), F.round(F.sum(t - c), 4).alias("signed"), F.round(F.sum(F.abs(t + c - 2 * F.least(t, c))), 4).alias("radius"))
+    w = topic_and_collection(spark, sf).groupBy("item_id", "topic")
+    return w.agg(F.round(F.sum("t"), 4).alias("cross_entropy"), F.round(F.sum(F.abs(t - c)), 4).alias("topic_collection"), F.round(F.sum(t - c), 4).alias("topic_collection_signed"))
+
+
+@query()
+def document_metrics(spark, sf):
+    """The metrics with a document's own model, which starts empty and learns: distance from the topic, radius of both
+    around the collection, absolute and signed, and for each metric the topic that is least."""
+    d, t, c = F.col("d"), F.col("t"), F.col("c")
+    own = fold.adaptive_symbol_bits(table(spark, sf, "benchmark"), "item_id", order=1)
+    w = topic_and_collection(spark, sf).join(own.select("item_id", "pos", F.col("bits").alias("d")), ["item_id", "pos"]).groupBy("item_id", "topic")
+    names = ["cross_entropy", "document_topic", "topic_collection", "radius", "document_topic_signed", "topic_collection_signed", "radius_signed"]
+    sums = [F.sum("t"), F.sum(F.abs(d - t)), F.sum(F.abs(t - c)), F.sum(F.abs(d + t - 2 * c)), F.sum(d - t), F.sum(t - c), F.sum(d + t - 2 * c)]
+    m = w.agg(*[F.round(x, 4).alias(n) for n, x in zip(names, sums)])
+    best = m.groupBy("item_id").agg(*[F.min_by("topic", F.struct(n, "topic")).alias(f"by_{n}") for n in names])
+    return m.join(best, "item_id")
+
+
+@query(f"""{_ID1}, m AS (SELECT lang, predicted FROM best JOIN documents USING (doc_id)), t AS (SELECT lang AS tag, count(*) AS n, count(*) FILTER (WHERE lang = predicted) AS h FROM m GROUP BY lang), p AS (SELECT predicted AS tag, count(*) AS n FROM m GROUP BY predicted)
+SELECT count(*) AS models, round(avg(h / t.n), 6) AS macro_recall, round(avg(h / p.n), 6) AS macro_precision FROM t LEFT JOIN p USING (tag)""")
+def lang_macro_averages(spark, sf):
+    """Average recall and precision over the classes."""
+    test, costs = lang_costs(spark, sf, 1)
+    m = identify(costs, "doc_id").join(test.select("doc_id", "lang"), "doc_id").groupBy("lang", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    t = m.groupBy(F.col("lang").alias("tag")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("lang") == F.col("predicted"), F.col("n")).otherwise(0)).alias("h"))
+    p = m.groupBy(F.col("predicted").alias("tag")).agg(F.sum("n").alias("p"))
+    return t.join(p, "tag", "left").agg(F.count(F.lit(1)).alias("models"), F.round(F.avg(F.col("h") / F.col("t")), 6).alias("macro_recall"), F.round(F.avg(F.col("h") / F.col("p")), 6).alias("macro_precision"))
 
 
 _TYPES = r"SELECT DISTINCT unnest([x FOR x IN regexp_split_to_array(regexp_replace(text, '[^A-Za-z0-9_\x09-\x0D\x20]', '', 'g'), '[\x09-\x0D\x20]+') IF x <> '']) AS word FROM benchmark"

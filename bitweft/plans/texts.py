@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from bitweft.functions import text as T
 from bitweft.plans.base import query
-from bitweft.session import table
+from bitweft.session import Workspace, table
+from bitweft.sources import models
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,9 +53,11 @@ def read_at_most(spark, sf):
 
 @query("SELECT DISTINCT lang AS tag, source AS path FROM documents")
 def model_manifest(spark, sf):
-    """Manifest lines `tag path`, written and read."""
-    lines = table(spark, sf, "documents").select(F.concat_ws(" ", "lang", "source").alias("line")).distinct()
-    return lines.select(F.split_part("line", F.lit(" "), F.lit(1)).alias("tag"), F.split_part("line", F.lit(" "), F.lit(2)).alias("path"))
+    """Manifest lines `tag path`, written as text and read by the manifest source."""
+    lines = table(spark, sf, "documents").select(F.concat_ws(" ", "lang", "source").alias("value")).distinct()
+    path = Workspace(spark, "manifest").path("lines")
+    lines.write.text(path)
+    return models.manifest(spark, path)
 
 
 @query(r"""SELECT doc_id, CAST(i // 128 AS BIGINT) AS block, count(*) AS tokens, min(w) AS least FROM (
@@ -93,7 +96,8 @@ _COUNTS = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS \"
 @query(f"SELECT doc_id, {_COUNTS} FROM documents")
 def char_classes(spark, sf):
     """How many symbols of each class a document has."""
-    return table(spark, sf, "documents").select("doc_id", *[T.count_class(F.col("text"), n).alias(f"n_{n}") for n in T.CLASSES])
+    d = table(spark, sf, "documents").select("doc_id", T.count_classes(F.col("text")).alias("n"))
+    return d.select("doc_id", *[F.col(f"n.{n}").alias(f"n_{n}") for n in T.CLASSES])
 
 
 @query(f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_symbols, CAST(length(text) + 1 AS BIGINT) AS with_sentinel, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(translate(text, '{_UP}', '{_LOW}')) AS lower_md5, md5(translate(text, '{_LOW}', '{_UP}')) AS upper_md5 FROM documents""")
@@ -151,11 +155,12 @@ def range_costs(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(T.range_bits(s - 1, s, F.lit(50)) + T.range_bits(F.lit(0), s, F.lit(50)), 6).alias("bits"))
 
 
-@query("SELECT item_id, regexp_replace(text || chr(10), '\\n$', '') = text AS last_eoln_off, CAST(length(replace(text, chr(10), '')) AS BIGINT) AS without_eoln FROM benchmark")
+@query("""WITH t AS (SELECT doc_id, text || repeat(chr(10), CAST(doc_id % 3 AS INTEGER)) AS text FROM documents)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END) AS last_off_md5, CAST(length(text) - len(string_split(text, chr(10))) + 1 AS BIGINT) AS without_eoln FROM t""")
 def eoln_handling(spark, sf):
-    """Deleting the last line feed, and all of them."""
-    one = F.regexp_replace(F.concat("text", F.lit("\n")), r"\n\z", "")
-    return table(spark, sf, "benchmark").select("item_id", (one == F.col("text")).alias("last_eoln_off"), F.char_length(F.replace("text", F.lit("\n"), F.lit(""))).cast("long").alias("without_eoln"))
+    """Deleting the last line feed of texts that end in none, one or two, and deleting all of them."""
+    t = table(spark, sf, "documents").select("doc_id", F.concat("text", F.repeat(F.lit("\n"), (F.col("doc_id") % 3).cast("int"))).alias("text"))
+    return t.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(T.drop_last_eoln(F.col("text"))).alias("last_off_md5"), F.char_length(T.drop_eolns(F.col("text"))).cast("long").alias("without_eoln"))
 
 
 @query("SELECT item_id, CAST(CAST(regexp_extract(printf('%d:%s', item_id, text), '^([0-9]+):', 1) AS BIGINT) AS BIGINT) AS number, printf('%d:%s', item_id, text) AS line FROM benchmark")

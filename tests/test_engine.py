@@ -187,7 +187,7 @@ def test_round_trips_of_queries(spark, sf):
         assert all(r.restored for r in registry.QUERIES[name](spark, sf).collect())
 
 
-SMALL = ["text_symbols", "nonword_word_pairs", "char_classes", "gram_counts_o2", "cumulative_bounds", "sss_bits", "space_recall_precision", "rank_hit_rates", "lang_id_static"]
+SMALL = ["text_symbols", "nonword_word_pairs", "char_classes", "gram_counts_o2", "cumulative_bounds", "sss_bits", "space_recall_precision", "rank_hit_rates", "lang_id_static", "word_table", "nonword_table", "model_catalogue", "eoln_handling", "model_manifest", "divergence_metrics", "lang_macro_averages"]
 
 
 @pytest.mark.parametrize("name", SMALL)
@@ -204,6 +204,25 @@ def test_sql(spark, sf, name):
     assert got == sorted(clean(r) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_dictionary_keeps_all_keys(spark, sf1, partitions):
+    """Dense ids over all distinct words of whole documents, whatever the number of shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        n, distinct, least, most = registry.QUERIES["word_table"](spark, sf1).agg(F.count(F.lit(1)), F.countDistinct("key_id"), F.min("key_id"), F.max("key_id")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    words = {w for r in spark.read.parquet(f"{sf1}/documents.parquet").select("text").collect() for w in re.split(r"[\t-\r ]+", r.text) if w}
+    assert (n, distinct, least, most) == (len(words), len(words), 0, len(words) - 1)
+
+
+def test_sentinel_is_no_symbol(spark):
+    """A text may hold any character, private-use ones too."""
+    df = spark.createDataFrame([("m", "a\uf8ffb")], "model string, text string")
+    assert ppm.train(df, 0).where("k = 0").count() == 4
+
+
 FOLDS = ["lang_id_static", "lang_id_precision", "lang_confusion", "lang_bits_matrix", "bits_json", "role_id_conversations", "toxic_id_labels", "bigram_pt_bits", "tag_back_off_bits"]
 
 
