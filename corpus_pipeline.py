@@ -1,7 +1,12 @@
 """Corpus pipeline: quality, exact dedup, near dedup, decontamination, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; run() writes each
-stage's rows to the shared folder and rereads them. All but the last return the columns of documents."""
+stage's rows to the shared folder and rereads them, and drops what no stage reads any more. All but the last return
+the columns of documents.
+
+Edge cases, in every stage: a null text counts as empty; repeated rows of one id and text are one document from exact dedup
+on; ties go to the smallest id; rows without id are judged by their text and are never linked or found contaminated;
+an empty table gives an empty result; extra columns are kept, whatever their names, except in the last stage."""
 
 from __future__ import annotations
 
@@ -23,12 +28,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of documents with a similarity of 0.8 or more on five-word shingles stays."""
+    """One row of each component of documents with a similarity of 0.8 or more on five-word shingles stays (five words is
+    the rule for stages on shingles; the query on near duplicates has a contract of its own, with four)."""
     return near_dedup.survivors(docs, k=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, a passage or an edited copy of one go."""
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, "doc_id", Workspace(spark, "leaks").put(found.select("id").distinct(), "gone"))
 
@@ -54,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = ws.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, ws.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        ws.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
