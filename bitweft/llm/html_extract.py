@@ -78,25 +78,27 @@ class Page:
             stop = m.start() if m else n
             close = name = attributes = None
             after = n
-            if m and m[1]:
+            if not m:
+                pass
+            elif m[1]:
                 end = source.find("-->", m.end())
                 after = end + 3 if end >= 0 else n
-            elif m and stop > last:
+            elif stop > last:
                 m, stop = None, n  # no tag can end any more
-            elif m:
-                e = _QUOTED.match(source, m.end()) if quotes and m[3] and not m[2] else None
+            else:
+                close, name = (m[3], None) if m[2] else (None, m[3])
+                e = _QUOTED.match(source, m.end()) if name and quotes else None
                 if e:
                     attributes, after = e[1], e.end()
                 else:
                     # A quote that nothing ends: from here on every tag ends at the next ">", so no end is sought twice.
-                    quotes = quotes and not (m[3] and not m[2])
+                    if name:
+                        quotes = False
                     end = source.find(">", m.end())
                     if end < 0:
-                        m, stop = None, n
+                        m, stop, close, name = None, n, None, None
                     else:
-                        attributes, after = source[m.end() : end], end + 1
-            if m and m[3]:
-                close, name = (m[3], None) if m[2] else (None, m[3])
+                        attributes, after = source[m.end() : end] if name else None, end + 1
             text = source[at:stop]
             if text:
                 text = html.unescape(text) if "&" in text else text
@@ -122,10 +124,12 @@ class Page:
                         at = after
                         continue
                     if name not in _KEEPS_P and tag_of[stack[-1]] == "p":
-                        close_from(len(stack) - 1)
+                        places["p"].pop()
+                        stack.pop()
                     if name in _CLOSES:
                         closed, bound = _CLOSES[name]
-                        if (i := innermost(closed)) > innermost(bound):
+                        i = innermost(closed)
+                        if i and i > innermost(bound):
                             close_from(i)
                     self._node(name, stack[-1], attributes)
                     if name not in VOID:
@@ -139,7 +143,10 @@ class Page:
                 if close in BLOCKS:
                     flush()
                     link = False
-                    if places.get(close):
+                    if tag_of[stack[-1]] == close:
+                        places[close].pop()
+                        stack.pop()
+                    elif places.get(close):
                         close_from(places[close][-1])
                 elif close == "a":
                     link = False
