@@ -265,6 +265,34 @@ def ppm_roundtrip(df: DataFrame, key: str, text: str = "text", order: int = 3) -
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, original_size long, compressed_size long, bits double, restored boolean")
 
 
+def encode_numbers(df: DataFrame, key: str, numbers: str = "numbers", order: int = 1, alphabet: int = 65536) -> DataFrame:
+    """key, code: the adaptive code of each row's array of whole numbers from 0 to below `alphabet` (null: empty)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for a in b[numbers]:
+                ns = [] if a is None else [int(n) for n in a]
+                if any(not 0 <= n < alphabet for n in ns):
+                    raise ValueError(f"numbers lie from 0 to {alphabet - 1}")
+                out.append(encode(ns, AdaptivePPM(order, alphabet))[0])
+            yield pd.DataFrame({key: b[key], "code": out})
+
+    return df.select(key, numbers).mapInPandas(run, f"{key} {kind}, code binary")
+
+
+def decode_numbers(df: DataFrame, key: str, code: str = "code", order: int = 1, alphabet: int = 65536) -> DataFrame:
+    """key, numbers: the arrays of encode_numbers()'s codes."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "numbers": [decode(bytes(c), AdaptivePPM(order, alphabet)) for c in b[code]]})
+
+    return df.select(key, code).mapInPandas(run, f"{key} {kind}, numbers array<bigint>")
+
+
 def adaptive_bits(df: DataFrame, key: str, text: str = "text", order: int = 3, alphabet: int = 65536) -> DataFrame:
     """key, bits: cost of each text's code points and sentinel under a model that starts empty."""
     kind = df.schema[key].dataType.simpleString()

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from bitweft.functions.text import SENTINEL
+from bitweft.operators.fold import Decoder, Encoder
 
 #: Rows of the count tables that a worker may hold (some 1 GB in Python).
 MODEL_ROWS = 4_000_000
@@ -56,6 +57,72 @@ class StaticModels:
             gone.update(x for x in f if x != SENTINEL)
         return cost + math.log2(self.alphabet - len(gone) + 1)
 
+    def levels(self, model: str, history: str) -> Iterator[tuple[list[tuple[str, int]], int]]:
+        """The symbols with counts, in order, and the escape count, of each context from the longest; exclusions applied."""
+        table, occ, gone = self.counts[model], self.occ[model], set()
+        for k in range(min(self.order, len(history)), -1, -1):
+            c = history[len(history) - k :] if k else ""
+            f = table.get(c)
+            if f and (not k or occ.get(c, 0) >= 2):
+                yield sorted((x, n) for x, n in f.items() if x not in gone), len(f)
+                gone.update(x for x in f if x != SENTINEL)
+        yield [(x, -1) for x in sorted(gone, key=ord)], 0
+
+    def encode(self, model: str, text: str) -> bytes:
+        """Arithmetic code of the text and its sentinel; the model does not learn."""
+        coder, history = Encoder(), ""
+        for s in [*text, SENTINEL]:
+            if s != SENTINEL and ord(s) >= self.alphabet:
+                raise ValueError(f"symbol {ord(s)} is beyond the alphabet of {self.alphabet}")
+            for known, escape in self.levels(model, history):
+                if not escape:
+                    n = self.alphabet - len(known)
+                    at = n if s == SENTINEL else ord(s) - sum(x < s for x, _ in known)
+                    coder.put(at, at + 1, n + 1)
+                    break
+                low = sum(n for x, n in known if x < s)
+                left = sum(n for _, n in known)
+                hit = next((n for x, n in known if x == s), 0)
+                if hit:
+                    coder.put(low, low + hit, left + escape)
+                    break
+                if left:
+                    coder.put(left, left + escape, left + escape)
+            history = (history + s)[-self.order :] if self.order else ""
+        return coder.done()
+
+    def decode(self, model: str, code: bytes) -> str:
+        coder, history, out = Decoder(code), "", []
+        while True:
+            for known, escape in self.levels(model, history):
+                if not escape:
+                    n = self.alphabet - len(known)
+                    at = coder.target(n + 1)
+                    coder.take(at, at + 1, n + 1)
+                    if at == n:
+                        s = SENTINEL
+                        break
+                    for x, _ in known:  # in order, so each one passed moves the place by one
+                        at += ord(x) <= at
+                    s = chr(at)
+                    break
+                left = sum(n for _, n in known)
+                if not left:
+                    continue
+                at, low, s = coder.target(left + escape), 0, None
+                for x, n in known:
+                    if at < low + n:
+                        s = x
+                        break
+                    low += n
+                coder.take(low, low + (n if s is not None else escape), left + escape)
+                if s is not None:
+                    break
+            if s == SENTINEL:
+                return "".join(out)
+            out.append(s)
+            history = (history + s)[-self.order :] if self.order else ""
+
 
 RULE = re.compile(r"^\s*(\d+)\s+(\d+)\s+(.*?)\s*->\s*(.*?)\s*$")
 
@@ -151,6 +218,30 @@ def markup_texts(df: DataFrame, key: str, models: StaticModels, names: list[str]
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, model string, symbols long, switches long")
 
 
+def encode_texts(df: DataFrame, key: str, models: StaticModels, model: str, text: str = "text") -> DataFrame:
+    """key, code: each text's arithmetic code under a static model (null: empty). decode_texts() is its inverse."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "code": [shared.value.encode(model, t or "") for t in b[text]]})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, code binary")
+
+
+def decode_texts(df: DataFrame, key: str, models: StaticModels, model: str, code: str = "code") -> DataFrame:
+    """key, text: the texts of encode_texts()'s codes."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "text": [shared.value.decode(model, bytes(c)) for c in b[code]]})
+
+    return df.select(key, code).mapInPandas(run, f"{key} {kind}, text string")
+
+
 #: Variance and the prior of the six bead types of length-based alignment (fixed values of the published method).
 BEADS = {(1, 1): 0.89, (1, 0): 0.00495, (0, 1): 0.00495, (2, 1): 0.0445, (1, 2): 0.0445, (2, 2): 0.011}
 VARIANCE = 6.8

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitweft.operators import fold, ppm, rewrite
+from bitweft.operators import fold, ppm, rewrite, rules
 from bitweft.plans.base import query
 from bitweft.plans.models import turns
+from bitweft.plans.scoring import identify
 from bitweft.session import table
 from bitweft.streaming import adaptive
 
@@ -70,3 +71,87 @@ def sentence_alignment(spark, sf):
 def event_streams(spark, sf):
     """Adaptive cost of each user's stream of event types (the batch form of the streaming model)."""
     return adaptive.fold(table(spark, sf, "events"), "user_id", "event_id", "event_type", 5).withColumn("bits", F.round("bits", 6))
+
+
+def all_turns(spark, sf, order=2, alphabet=65536, change=None):
+    """One model of all turns, held for a fold; `change` is applied to their texts first."""
+    t = turns(spark, sf).withColumn("model", F.lit("all"))
+    return rewrite.StaticModels.of(ppm.train(t if change is None else t.withColumn("text", change(F.col("text"))), order), order, alphabet)
+
+
+@query()
+def static_codec(spark, sf):
+    """Static PPM codes of every benchmark text under a model of all turns, and what they decode to again."""
+    m = all_turns(spark, sf, alphabet=0x110000)
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    coded = rewrite.encode_texts(b, "item_id", m, "all")
+    back = rewrite.decode_texts(coded, "item_id", m, "all").withColumnRenamed("text", "decoded")
+    out = b.join(coded, "item_id").join(back, "item_id")
+    return out.select("item_id", F.octet_length("text").cast("long").alias("original_size"), F.octet_length("code").cast("long").alias("compressed_size"), F.sha2("code", 256).alias("code_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
+
+
+@query()
+def number_codec(spark, sf):
+    """Adaptive codes of each order's quantities in the order of its lines, decoded again; an order has few lines."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q"))))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("a")).select("l_orderkey", F.col("a.q").alias("numbers"))
+    coded = fold.encode_numbers(o, "l_orderkey", "numbers", alphabet=1 << 20)
+    back = fold.decode_numbers(coded, "l_orderkey", alphabet=1 << 20).withColumnRenamed("numbers", "decoded")
+    return o.join(coded, "l_orderkey").join(back, "l_orderkey").select("l_orderkey", F.size("numbers").cast("long").alias("symbols"), F.octet_length("code").cast("long").alias("compressed_size"), (F.col("numbers") == F.col("decoded")).alias("restored"))
+
+
+def without_spaces(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+
+
+def rounded(df):
+    return df.withColumn("bits", F.round("bits", 4))
+
+
+@query()
+def rule_segmentation(spark, sf):
+    """word_segmentation as a rule set: keep a character, or put a space behind it."""
+    return rounded(rules.rewrite_texts(without_spaces(spark, sf), "item_id", rules.segmentation(), all_turns(spark, sf), ["all"], beam=16))
+
+
+@query()
+def rule_segmentation_before(spark, sf):
+    """The variant that puts spaces before letters and digits only."""
+    return rounded(rules.rewrite_texts(without_spaces(spark, sf), "item_id", rules.segmentation(True, True), all_turns(spark, sf), ["all"], beam=16))
+
+
+@query()
+def rule_playfair(spark, sf):
+    """The variant that also takes out the x that a cipher put behind o and before e."""
+    padded = without_spaces(spark, sf).withColumn("text", F.regexp_replace(F.lower("text"), "oo", "oxo"))
+    return rounded(rules.rewrite_texts(padded, "item_id", rules.playfair(), all_turns(spark, sf), ["all"], beam=16))
+
+
+@query()
+def rule_tagging(spark, sf):
+    """Every space of a lower-cased benchmark text becomes one of two tags: before a capital or not, as in the tagged turns."""
+    tagged = lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, " (?=[A-Z])", "\x02"), " ", "\x01"))
+    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("text"))
+    return rounded(rules.rewrite_texts(b, "item_id", rules.tagging("\x01\x02"), all_turns(spark, sf, change=tagged), ["all"], beam=16))
+
+
+@query()
+def rule_markup_words(spark, sf):
+    """Language markup as a rule set: another language's model may take over behind a space, at 12 bits."""
+    d = table(spark, sf, "documents").select(F.col("lang").alias("model"), "text")
+    models = rewrite.StaticModels.of(ppm.train(d, 1), 1)
+    names = ["de", "en", "es", "fr"]
+    return rounded(rules.rewrite_texts(table(spark, sf, "benchmark"), "item_id", rules.switching(names, 12.0, True), models, names))
+
+
+@query()
+def role_id_with_dynamic(spark, sf):
+    """Identification among the roles' models and one that starts empty and learns; each half of the conversations
+    trains the models of the other, so every turn is scored."""
+    t = turns(spark, sf)
+    fresh = fold.adaptive_bits(t, "doc", order=1).select("doc", F.lit("<new>").alias("model"), "bits")
+    half = [t.where(F.col("conv_id") % 2 == h) for h in (0, 1)]
+    fixed = [ppm.codelengths(half[h].select("doc", "text"), "doc", ppm.train(half[1 - h], 1), 1) for h in (0, 1)]
+    costs = fixed[0].unionByName(fixed[1])
+    every = costs.select("doc", "model", "bits", "symbols").unionByName(fresh.withColumn("symbols", F.lit(None).cast(costs.schema["symbols"].dataType)))
+    return rounded(identify(every, "doc").drop("symbols").join(t.select("doc", F.col("model").alias("role")), "doc"))

@@ -49,6 +49,19 @@ def files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
 
+def symbols(spark: SparkSession, path: str, width: int = 4, little: bool = True) -> DataFrame:
+    """path, symbols: the whole numbers of `width` bytes (1 to 7) that each file consists of; a file of another length is an
+    error; Spark's file source passes over empty files, so they give no row."""
+    if not 1 <= width <= 7:
+        raise ValueError("a symbol has 1 to 7 bytes")
+    places = list(range(width, 0, -1) if little else range(1, width + 1))
+    one = lambda i: F.conv(F.concat(*[F.hex(F.substring("content", i * width + k, F.lit(1))) for k in places]), 16, 10).cast("long")
+    whole = F.assert_true(F.col("length") % width == 0, F.concat(F.lit("not whole symbols: "), "path"))
+    n = (F.col("length") / width).cast("int")
+    found = F.transform(F.sequence(F.lit(0), n - 1), one)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(whole.isNull()).select("path", found.alias("symbols"))
+
+
 def write_ranks(ranks: DataFrame, path: str) -> None:
     """Ranks, one a line, in the order of (doc, pos)."""
     ranks.orderBy("doc", "pos").select(F.col("rank").cast("string").alias("value")).write.mode("overwrite").text(path)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitweft.functions import text as T
-from bitweft.operators import fold, ppm, rewrite, words
+from bitweft.operators import fold, ppm, rewrite, rules, words
 from bitweft.plans import registry
 from bitweft.plans.scoring import identify
 from bitweft.sources import models
@@ -190,6 +190,98 @@ def test_round_trips_of_queries(spark, sf):
         assert all(r.restored for r in registry.QUERIES[name](spark, sf).collect())
 
 
+@pytest.fixture(scope="module")
+def two(spark):
+    train = spark.createDataFrame([("x", "abab abab acab"), ("x", "the cat sat on the mat"), ("y", "cdcd cdcd"), ("y", "cd cd dc")], "model string, text string")
+    return rewrite.StaticModels.of(ppm.train(train, 2), 2)
+
+
+def price(m, model, text):
+    cost, h = 0.0, ""
+    for c in [*text, S]:
+        cost += m.bits(model, h, c)
+        h = (h + c)[-m.order :]
+    return cost
+
+
+@pytest.mark.parametrize("before", [False, True])
+@pytest.mark.parametrize("alphanumeric", [False, True])
+def test_rules_against_all_ways(two, before, alphanumeric):
+    for text in ("", "abacab", "on-mat", None):
+        every = [""]
+        for c in text or "":
+            ways = [c] if alphanumeric and not c.isalnum() else [c, f" {c}" if before else f"{c} "]
+            every = [e + w for e in every for w in ways]
+        best = min(every, key=lambda e: price(two, "x", e))
+        out, bits, runs = rules.rewrite(text, rules.segmentation(before, alphanumeric), two, ["x"])
+        assert bits == pytest.approx(price(two, "x", best)) and price(two, "x", out) == pytest.approx(bits)
+        assert sum(n for _, n in runs) == len(out)
+
+
+def test_rules_of_models_tags_and_letters(two):
+    text, names = "abab cd", ["x", "y"]
+    every = []
+    for first in names:
+        for second in (None, *names):
+            cost = 2.5 if second else 0.0
+            for i, c in enumerate([*text, S]):
+                cost += two.bits(first if second is None or i < 5 else second, text[max(0, i - 2) : i], c)
+            every.append(cost)
+    out, bits, runs = rules.rewrite(text, rules.switching(names, 2.5, True), two, names)
+    assert (out, bits) == (text, pytest.approx(min(every))) and "".join(m * n for m, n in runs) in ("xxxxxyy", "xxxxxxx", "yyyyyyy", "yyyyyxx")
+    ways = [a + "cd" + b + "a" for a in ("ab", ) for b in ("a", "b")]
+    assert rules.rewrite("abcd a", rules.tagging("ab"), two, ["x"])[1] == pytest.approx(min(price(two, "x", w) for w in ways))
+    assert rules.rewrite("oxo", rules.compile_rule("ox", "o") + rules.compile_rule("o", "%w".replace("%w", "o")), two, ["x"])[0] == "oo"
+    one = lambda target, t="a": rules.rewrite(t, rules.compile_rule("a", target), two, ["x"])
+    assert one("%_!a")[:2] == ("!a", pytest.approx(price(two, "x", "a")))
+    assert one("%.ba")[:2] == ("ba", pytest.approx(price(two, "x", "ba") - two.bits("x", "", "b")))
+    assert one("a%$")[:2] == ("a", pytest.approx(price(two, "x", "a") + price(two, "x", "")))
+    assert one("%%")[0] == "%" and one("a", "ab") == (None, None, [])
+    apart = rules.rewrite("ac", rules.compile_rule("a", "a") + rules.compile_rule("c", "%m{y}c"), two, ["x"], separate=True)
+    assert apart[1] == pytest.approx(two.bits("x", "", "a") + two.bits("y", "", "c") + two.bits("y", "c", S))
+    for bad in (("%m", "a"), ("%[ab]", "a"), ("%s", "a"), ("", "a"), ("a", "%w"), ("%w", "%r")):
+        with pytest.raises(ValueError):
+            rules.compile_rule(*bad)
+    loaded = rules.load_rules([r"1 4 \32\ -> %[\1\\2\]", "", "1 1 ox -> o"])
+    assert [(r.source[0][1], r.target[0][1], r.bits) for r in loaded] == [(" ", "\1", 2.0), (" ", "\2", 2.0), ("o", "o", 0.0)]
+
+
+def test_static_codes(spark, two):
+    m = rewrite.StaticModels(two.order, 0x110000, two.counts, two.occ)
+    for text in ("", "the cat", "zz\x00\U0010ffff", "abab" * 200, "\n\u00e9\u20ac"):
+        code = m.encode("x", text)
+        assert m.decode("x", code) == text and len(code) * 8 <= price(m, "x", text) + 16
+    with pytest.raises(ValueError):
+        two.encode("x", "\U0010ffff")
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id long, text string")
+    coded = rewrite.encode_texts(rows, "id", m, "x")
+    assert {r.id: r.text for r in rewrite.decode_texts(coded, "id", m, "x").collect()} == {1: "ab", 2: "", 3: ""}
+    numbers = spark.createDataFrame([(1, [3, 3, 7, 0]), (2, []), (3, None)], "id long, numbers array<long>")
+    assert {r.id: r.numbers for r in fold.decode_numbers(fold.encode_numbers(numbers, "id"), "id").collect()} == {1: [3, 3, 7, 0], 2: [], 3: []}
+
+
+def test_symbol_files(spark, tmp_path):
+    import struct
+
+    (tmp_path / "a.bin").write_bytes(struct.pack("<3I", 1, 70000, 2147483646))
+    (tmp_path / "b.bin").write_bytes(b"")
+    got = {r.path[-5]: list(r.symbols) for r in models.symbols(spark, str(tmp_path)).collect()}
+    assert got == {"a": [1, 70000, 2147483646]}
+    assert models.symbols(spark, str(tmp_path / "a.bin"), 2, False).first().symbols[:2] == [256, 0]
+    (tmp_path / "c.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="not whole symbols"):
+        models.symbols(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("name", ["static_codec", "number_codec", "rule_segmentation", "rule_segmentation_before", "rule_playfair", "rule_tagging", "rule_markup_words", "role_id_with_dynamic"])
+def test_rule_and_code_queries(spark, sf, name):
+    rows = registry.QUERIES[name](spark, sf).collect()
+    assert rows and all(r.asDict().get("restored", True) for r in rows)
+    if name == "rule_segmentation":
+        want = {r.item_id: (r.segmented, r.bits) for r in registry.QUERIES["word_segmentation"](spark, sf).collect()}
+        assert {r.item_id: (r.rewritten, r.bits) for r in rows} == want
+
+
 SMALL = ["text_symbols", "nonword_word_pairs", "char_classes", "gram_counts_o2", "cumulative_bounds", "sss_bits", "space_recall_precision", "rank_hit_rates", "lang_id_static", "word_table", "nonword_table", "model_catalogue", "eoln_handling", "model_manifest", "divergence_metrics", "lang_macro_averages"]
 
 
