@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitweft.functions import text as T
-from bitweft.operators import fold, ppm, rewrite, rules, words
+from bitweft.operators import fold, ppm, rewrite, rules, word_models, words
 from bitweft.plans import registry
 from bitweft.plans.scoring import identify
 from bitweft.sources import models
@@ -282,7 +282,47 @@ def test_rule_and_code_queries(spark, sf, name):
         assert {r.item_id: (r.rewritten, r.bits) for r in rows} == want
 
 
-SMALL = ["text_symbols", "nonword_word_pairs", "char_classes", "gram_counts_o2", "cumulative_bounds", "sss_bits", "space_recall_precision", "rank_hit_rates", "lang_id_static", "word_table", "nonword_table", "model_catalogue", "eoln_handling", "model_manifest", "divergence_metrics", "lang_macro_averages"]
+def tokens_of(text):
+    got = [(m[1], m[2]) for m in re.finditer("([^A-Za-z0-9]*)([A-Za-z0-9]*)", text) if m[0]]
+    n, w = [a for a, _ in got], [b or S for _, b in got]
+    n += [] if w and w[-1] == S else [S]
+    stop = lambda x: S if ". " in x or ".\n" in x or x == "." else x
+    return [("n", p, t) for p, t in zip([S, *map(stop, n)], n)] + [("w", p, t) for p, t in zip([S, *w], w)]
+
+
+def test_word_models_against_plain_counts(spark, tmp_path):
+    from collections import Counter
+
+    texts = {"a": ["The cat sat. The dog ran.", "cat, dog; cat."], "b": ["0 1 2 3", ""]}
+    bundle = word_models.train(spark.createDataFrame([(m, t) for m, ts in texts.items() for t in ts], "model string, text string"), order=1)
+    asked = ["The cat ran. Then", "", "...", "cat dog!", None, "7 8. 1"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "id int, text string")
+    got = {(r.id, r.model): (r.bits, r.symbols) for r in word_models.codelengths(rows, "id", bundle, order=1).collect()}
+    assert len(got) == 2 * len(asked)
+    for m, ts in texts.items():
+        seen = [x for t in ts for x in tokens_of(t)]
+        pairs, singles = Counter(seen), Counter((k, t) for k, _, t in seen)
+        spell = {k: static(sorted({t for q, t in singles if q == k and t != S}), 1, 65536) for k in "nw"}
+        for i, text in enumerate(asked):
+            cost = 0.0
+            for k, p, t in tokens_of(text or ""):
+                row = {z: n for (q, y, z), n in pairs.items() if (q, y) == (k, p)}
+                flat = {z: n for (q, z), n in singles.items() if q == k}
+                if t in row:
+                    cost -= math.log2(row[t] / (sum(row.values()) + len(row)))
+                    continue
+                if row:
+                    cost -= math.log2(len(row) / (sum(row.values()) + len(row)))
+                cost -= math.log2(flat.get(t, len(flat)) / (sum(flat.values()) + len(flat)))
+                if t not in flat and t != S:
+                    cost += frozen_bits(spell[k], t)
+            assert got[i, m] == (pytest.approx(cost), len(tokens_of(text or ""))), (m, text)
+    word_models.write(bundle, str(tmp_path / "bundle"))
+    again = word_models.codelengths(rows, "id", word_models.read(spark, str(tmp_path / "bundle")), order=1).collect()
+    assert {(r.id, r.model): (pytest.approx(r.bits), r.symbols) for r in again} == got
+
+
+SMALL = ["text_symbols", "nonword_word_pairs", "char_classes", "gram_counts_o2", "cumulative_bounds", "sss_bits", "space_recall_precision", "rank_hit_rates", "lang_id_static", "word_table", "nonword_table", "model_catalogue", "eoln_handling", "model_manifest", "divergence_metrics", "lang_macro_averages", "word_model_pairs"]
 
 
 @pytest.mark.parametrize("name", SMALL)
