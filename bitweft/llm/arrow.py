@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once in a Python worker.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Gives free memory back to the system: a worker is used again, and what it keeps adds to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -38,11 +48,13 @@ def map_rows(df: DataFrame, schema: str, text: str, make: Callable[[], Callable[
     """mapInArrow with `make()` run once a task; its function turns each slice of a batch into a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = None
+        f = batch = part = None
         for batch in batches:
             f = f or make()
             for part in slices(batch, text):
                 if part.num_rows:
                     yield f(part)
+        del f, batch, part
+        release()
 
     return df.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 #: Remembered pre-tokens and fragments of a worker; when full, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> dict[str, int]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweft.llm.arrow import map_rows, slices
+from bitweft.llm.arrow import map_rows, release, slices
 from bitweft.session import pick, table
 
 BITS = 20
@@ -214,12 +214,14 @@ def select(docs: DataFrame, model: OrdinalModel, least_grade: int, least_tail: f
     text = f"c{names.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = None
+        of = batch = part = None
         for batch in batches:
             of = of or _scorer(model)
             for part in slices(batch, text):
                 keep = [model.tails(of(t))[least_grade - 1] >= least_tail for t in part.column(text).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
+        del of, batch, part
+        release()
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
