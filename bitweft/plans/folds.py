@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitweft.operators import ppm
+from bitweft.operators import grams, ppm
 from bitweft.plans import models, scoring
 from bitweft.plans import ppm_sql as Q
 from bitweft.plans.base import ORACLES, query
-from bitweft.session import table
+from bitweft.session import Workspace, table
 
 _ROLE, _TURN = "SELECT role AS model, conv_id * 1000 + turn AS doc, text FROM conversations WHERE conv_id % 2 = 0", "SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id % 2 = 1"
 
@@ -25,8 +25,17 @@ def halves(df: DataFrame, id_col: str) -> list[tuple[DataFrame, DataFrame]]:
 
 
 def fold_costs(df: DataFrame, id_col: str, key: str, order: int) -> DataFrame:
-    """key, model, bits, symbols of every row of df(key, id_col, model, text) under the models of the other half."""
-    parts = [ppm.codelengths(test.select(key, "text"), key, ppm.train(train, order), order) for train, test in halves(df, id_col)]
+    """key, model, bits, symbols of every row of df(key, id_col, model, text) under the models of the other half.
+
+    The grams of both halves are counted in one reading: each half's train its models and are priced by the other's."""
+    half = (F.col(id_col) % 2 != 0).cast("int")
+    base = grams.counted(df.select("model", half.alias("__half"), "text"), ["__half", "model"], max(order, 0))
+    base = Workspace(df.sparkSession, "grams").put(base, "halves")
+    parts = []
+    for h, (_, test) in enumerate(halves(df, id_col)):
+        wanted = base.where(F.col("__half") == 1 - h).select("ctx", "s").distinct()
+        counts = ppm.trained(base.where(F.col("__half") == h).drop("__half"), order)
+        parts.append(ppm.codelengths(test.select(key, "text"), key, counts, order, wanted=wanted))
     return reduce(DataFrame.unionByName, parts)
 
 

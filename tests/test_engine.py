@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitweft.functions import text as T
-from bitweft.operators import fold, ppm, rewrite, rules, word_models, words
+from bitweft.operators import fold, grams, ppm, rewrite, rules, word_models, words
 from bitweft.plans import registry
 from bitweft.plans.scoring import identify
 from bitweft.sources import models
@@ -429,3 +429,38 @@ def test_order5(spark, small_sf):
     assert items and {(r.item_id, r.model): r.most for r in q("line_bits_max") if (r.item_id, r.model) in want} == pytest.approx(want, abs=1e-3)
     assert len(q("bits_json")) == len(docs) and sum(r.docs for r in q("toxic_id_labels")) == spark.read.parquet(f"{small_sf}/labels.parquet").count()
     assert q("language_markup") and q("lang_confusion")
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 5])
+def test_prices_of_grams_are_the_same_by_every_way(spark, monkeypatch, order):
+    """A table held by workers, rows joined after a count, and the joins of score(); cut texts, alphabets too large for one number."""
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 1500)))
+    train = [("a", "abab abc\n\x00é"), ("a", ""), ("b", "ba" * 9), ("b", None), ("b", wide[::-1] + "\U0001f600ab")]
+    rows = [(1, "abab"), (2, ""), (3, None), (4, "zz\x00 ab" * 5), (5, wide[:40] + "\U0001f600"), (5, "ab")]
+    t = spark.createDataFrame(train, "model string, text string")
+    d = spark.createDataFrame(rows, "id long, text string")
+    counts = ppm.train(t, order)
+    old = ppm.positions(t, ["model"], order).where("s <> '<end>'").groupBy("model", "s").count().collect()
+    assert {(r.model, r.s): r["count"] for r in old} == {(r.model, r.s): r.n for r in counts.where("k = 0 AND s <> '<end>'").collect()}
+    got = {}
+    few = d.where("id <> 5"), ppm.train(t.where("length(text) < 30"), order)
+    for way, limits, cut in [("table", {}, 1 << 21), ("cut", {}, 7), ("rows", {"PRICE_BYTES": 0}, 1 << 21), ("joins", {"PRICE_MODELS": 0}, 1 << 21)]:
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(ppm, k, v)
+            m.setattr(grams, "SLICE", cut)
+            for name, (x, c) in {"wide": (d, counts), "few": few}.items():
+                out = ppm.codelengths(x, "id", c, order)
+                got[way, name] = {(r.id, r.model): (pytest.approx(r.bits, abs=1e-7), r.symbols) for r in out.collect()}
+                if (way, name) == ("table", "few"):  # the grams of the texts are not shuffled to their costs
+                    assert "Join" not in out._jdf.queryExecution().toString()
+    for (way, name), x in got.items():
+        assert x == got["joins", name], way
+    a, b = ({tuple(r)[:4]: (r.n, r.cnt) for r in c.collect()} for c in (counts, _trained_in(monkeypatch, t, order, 7)))
+    assert a == b
+
+
+def _trained_in(monkeypatch, t, order, size):
+    with monkeypatch.context() as m:
+        m.setattr(grams, "SLICE", size)
+        return ppm.train(t, order)
