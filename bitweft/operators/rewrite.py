@@ -11,11 +11,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bitweft.functions.text import SENTINEL
+from bitweft.operators import grams, ppm
 from bitweft.operators.fold import Decoder, Encoder
+from bitweft.session import Workspace
 
 #: Rows of the count tables that a worker may hold (some 1 GB in Python).
 MODEL_ROWS = 4_000_000
@@ -188,6 +194,68 @@ def markup(text: str, models: StaticModels, names: list[str], switch_bits: float
     return out[::-1]
 
 
+def markups(texts: list[str], costs: np.ndarray, switch_bits: float, word_starts: bool) -> np.ndarray:
+    """markup() of many texts at once: the number of each symbol's model, one text behind the other; costs is a row of
+    each symbol's cost under each model. The texts step on together, the longest first, so that those that go on stand in front."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    models = costs.shape[1]
+    starts = np.cumsum(sizes) - sizes
+    by = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by], sizes[by]
+    free = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) == ord(" ") if word_starts else np.ones(len(costs), bool)
+    going = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")  # texts longer than each place
+    at = np.tile(np.where(np.arange(models) == 0, 0.0, switch_bits), (len(sizes), 1))
+    back, own = np.empty((len(costs), models), np.uint8), np.arange(models, dtype=np.uint8)
+    for i, n in enumerate(going):
+        here = starts[:n] + i
+        now = at[:n] + costs[here]
+        best = now.argmin(axis=1)
+        other = (now[np.arange(n), best] + switch_bits)[:, None]
+        change = free[here][:, None] & (other < now)
+        at[:n] = np.where(change, other, now)
+        back[here] = np.where(change, best[:, None], own)
+    m, path = at.argmin(axis=1), np.empty(len(costs), np.uint8)
+    for i in range(len(going) - 1, -1, -1):
+        here = starts[: going[i]] + i
+        m[: going[i]] = path[here] = back[here, m[: going[i]]]
+    return path
+
+
+def shares(keys: list, texts: list[str], path: np.ndarray, names: list[str], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    """key, model, symbols, switches of each text's path; the models it uses, in the order of names."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    symbols = np.bincount(of * len(names) + path, minlength=len(texts) * len(names))
+    changes = np.bincount(of[1:][(path[1:] != path[:-1]) & (of[1:] == of[:-1])], minlength=len(texts))
+    used = np.flatnonzero(symbols)
+    row, m = used // len(names), used % len(names)
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind).take(pa.array(row)), pa.array(names, pa.string()).take(pa.array(m)), pa.array(symbols[used], pa.int64()), pa.array(changes[row], pa.int64())], names=[key, "model", "symbols", "switches"])
+
+
+def markup_grams(df: DataFrame, key: str, counts: DataFrame, order: int, names: list[str], switch_bits: float = 12.0, text: str = "text", word_starts: bool = True, alphabet: int = 65536) -> DataFrame:
+    """markup_texts() with the count tables of ppm.train() themselves: a symbol's cost depends on the text before it alone,
+    so the distinct grams of the texts are priced once, and neither the driver nor a worker holds the models."""
+    kind = df.schema[key].dataType
+    schema, arrow = f"{key} {kind.simpleString()}, model string, symbols long, switches long", to_arrow_type(kind)
+    wanted = Workspace(df.sparkSession, "grams").put(grams.counted(df, [], order, text, False).select("ctx", "s"), "distinct")
+    table = ppm.prices(wanted, names, counts, order, alphabet)
+    if isinstance(table, grams.Prices):
+        return grams.per_text(df, key, table, text, schema, lambda keys, texts, costs: shares(keys, texts, markups(texts, costs, switch_bits, word_starts), names, key, arrow))
+    if table is None:
+        table = ppm.wide(wanted, names, counts, order, alphabet)
+    rows = df.select(key, F.col(text).alias("__text"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("__row"))
+    at = ppm.positions(rows, ["__row", key, "__text"], order, "text", False).withColumn("ctx", F.coalesce(*[ppm.context(k) for k in range(order, -1, -1)]))
+    each = F.struct("pos", F.array(*[f"c{i}" for i in range(len(names))]).alias("c"))
+    rows = at.join(table, ["ctx", "s"]).groupBy("__row", key, "__text").agg(F.array_sort(F.collect_list(each)).alias("a")).select(key, "__text", F.col("a.c").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, costs = b.column("__text").to_pylist(), b.column("c").flatten().flatten().to_numpy().reshape(-1, len(names))
+            yield shares(b.column(key).to_pylist(), texts, markups(texts, costs, switch_bits, word_starts), names, key, arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def segment_texts(df: DataFrame, key: str, models: StaticModels, model: str, text: str = "text", beam: int = 64) -> DataFrame:
     """key, segmented, bits: word segmentation of each text."""
     shared = df.sparkSession.sparkContext.broadcast(models)

@@ -48,8 +48,7 @@ def word_segmentation(spark, sf):
 
 def of_language_markup(spark, sf, order):
     d = table(spark, sf, "documents").select(F.col("lang").alias("model"), "text")
-    models = rewrite.StaticModels.of(ppm.train(d, order), order)
-    return rewrite.markup_texts(turns(spark, sf).select("doc", "text"), "doc", models, ["de", "en", "es", "fr"])
+    return rewrite.markup_grams(turns(spark, sf).select("doc", "text"), "doc", ppm.train(d, order), order, ["de", "en", "es", "fr"])
 
 
 @query()

@@ -464,3 +464,31 @@ def _trained_in(monkeypatch, t, order, size):
     with monkeypatch.context() as m:
         m.setattr(grams, "SLICE", size)
         return ppm.train(t, order)
+
+
+@pytest.mark.parametrize("word_starts", [True, False])
+def test_markup_without_models_in_the_driver(spark, monkeypatch, word_starts):
+    """Many texts at once, from prices of grams, give what markup() gives text by text with the models themselves."""
+    rng = np.random.default_rng(5)
+    train = spark.createDataFrame([(m, "".join(rng.choice(list(a), 200))) for m, a in (("x", "ab cé"), ("y", "abd\x00 "), ("z", "aabc  "))], "model string, text string")
+    texts = ["".join(rng.choice(list("abcdé\x00 q"), n)) for n in (40, 0, 1, 90, 7, 33)] + [None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    counts = ppm.train(train, 2)
+    held = rewrite.StaticModels.of(counts, 2)
+    names = ["x", "y", "z"]
+    paths = [rewrite.markup(t or "", held, names, 3.0, word_starts) for t in texts]
+    want = {(i, m, p.count(m), sum(a != z for a, z in zip(p, p[1:]))) for i, p in enumerate(paths) for m in set(p)}
+    monkeypatch.setattr(rewrite, "MODEL_ROWS", 1)  # the models are not read into the driver
+    for limits, cut in [({}, 1 << 21), ({}, 16), ({"PRICE_BYTES": 0}, 1 << 21), ({"PRICE_MODELS": 0}, 1 << 21)]:
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(ppm, k, v)
+            m.setattr(grams, "SLICE", cut)
+            got = rewrite.markup_grams(d, "id", counts, 2, names, 3.0, word_starts=word_starts).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["language_markup", "language_markup_o5"])
+def test_markup_queries_hold_no_models(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(rewrite, "MODEL_ROWS", 1)
+    assert registry.QUERIES[name](spark, sf).count() > 0
