@@ -92,11 +92,7 @@ def static_codec(spark, sf):
 @query()
 def number_codec(spark, sf):
     """Adaptive codes of each order's quantities in the order of its lines, decoded again; an order has few lines."""
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q"))))
-    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("a")).select("l_orderkey", F.col("a.q").alias("numbers"))
-    coded = fold.encode_numbers(o, "l_orderkey", "numbers", alphabet=1 << 20)
-    back = fold.decode_numbers(coded, "l_orderkey", alphabet=1 << 20).withColumnRenamed("numbers", "decoded")
-    return o.join(coded, "l_orderkey").join(back, "l_orderkey").select("l_orderkey", F.size("numbers").cast("long").alias("symbols"), F.octet_length("code").cast("long").alias("compressed_size"), (F.col("numbers") == F.col("decoded")).alias("restored"))
+    return fold.number_roundtrip(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", alphabet=1 << 20)
 
 
 def without_spaces(spark, sf):

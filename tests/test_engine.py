@@ -504,3 +504,20 @@ def test_cumulative_bounds_of_empty_texts(spark, tmp_path):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(map(tuple, registry.QUERIES["cumulative_bounds"](spark, str(tmp_path)).collect()))
     assert got == sorted(c.sql(registry.ORACLES["cumulative_bounds"]).fetchall()) and len(got) == 4
+
+
+def test_number_roundtrip_meets_once(spark, sf):
+    """The codes are encode()'s, keys that go over batches stay whole, and no table is joined to its own codes."""
+    rng = np.random.default_rng(3)
+    rows = [[int(x) for x in rng.choice([0, 1, 7, 1000, (1 << 20) - 1], n)] for n in (1, 2, 5, 7, 12, 13, 14, 40, 3)]
+    d = spark.createDataFrame([(k, p, n) for k, ns in enumerate(rows) for p, n in enumerate(ns)], "k long, p long, n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.k: (r.symbols, r.compressed_size, r.restored) for r in fold.number_roundtrip(d.coalesce(1), "k", "p", "n", alphabet=1 << 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {k: (len(ns), len(fold.encode(ns, fold.AdaptivePPM(1, 1 << 20))[0]), True) for k, ns in enumerate(rows)}
+    short = fold.ShortStreams(1, 1 << 20)
+    assert all(short.encode(ns) == fold.encode(ns, fold.AdaptivePPM(1, 1 << 20))[0] and short.decode(short.encode(ns)) == ns for ns in [*rows, []])
+    assert "Join" not in registry.QUERIES["number_codec"](spark, sf)._jdf.queryExecution().toString()
