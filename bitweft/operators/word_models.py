@@ -8,6 +8,8 @@ characters; an escape has the weight of the types of its level."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,26 +55,60 @@ def read(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/pairs"), spark.read.parquet(f"{path}/characters")
 
 
+#: Models whose counts stand side by side in one row; more are taken in turns.
+ABREAST = 32
+
+
 def codelengths(df: DataFrame, key: str, bundle: tuple[DataFrame, DataFrame], text: str = "text", order: int = 2, alphabet: int = 65536) -> DataFrame:
     """key, model, bits, symbols (tokens): the cost of each text under every model of the bundle.
 
-    Distinct (context, token) pairs are priced once; tables of few rows are broadcast after a count."""
+    Distinct (context, token) pairs are priced once, under all models in one row, so that a pair is dealt out once and not
+    once a model; the tokens of a text are not gathered before."""
     pairs, characters = bundle
-    mine = Workspace(df.sparkSession, "words").put(streams(df, [key], text).groupBy(key, "kind", "prev", "token").agg(F.count(F.lit(1)).alias("n")), "tokens")
-    models = small(pairs.select("model").distinct(), ppm.MODELS)
-    context = pairs.groupBy("model", "kind", "prev").agg(F.sum("n").alias("n1"), F.count(F.lit(1)).alias("t1"))
-    single = pairs.groupBy("model", "kind", "token").agg(F.sum("n").alias("c0"))
-    zero = single.groupBy("model", "kind").agg(F.sum("c0").alias("n0"), F.count(F.lit(1)).alias("t0"))
-    new = mine.select("kind", "token").distinct().where(F.col("token") != SENTINEL).crossJoin(models).join(single, ["model", "kind", "token"], "left_anti")
-    spelled = ppm.codelengths(new.select("token").distinct(), "token", characters, order, alphabet, text="token")
-    spelled = spelled.select(F.col("model").alias("__m"), F.col("token").alias("__t"), F.col("bits").alias("spelled"))
-    new = new.join(spelled, (F.concat_ws("/", "model", "kind") == F.col("__m")) & (F.col("token") == F.col("__t")), "left").drop("__m", "__t")
-    want = mine.select("kind", "prev", "token").distinct().crossJoin(models)
-    want = want.join(small(context, ppm.LEVEL_ROWS), ["model", "kind", "prev"], "left").join(pairs.withColumnRenamed("n", "c1"), ["model", "kind", "prev", "token"], "left")
-    want = want.join(single, ["model", "kind", "token"], "left").join(small(zero, ppm.LEVEL_ROWS), ["model", "kind"], "left").join(new, ["model", "kind", "token"], "left")
-    none = F.lit(0.0)
-    first = F.when(F.col("c1").isNotNull(), -F.log2(F.col("c1") / (F.col("n1") + F.col("t1")))).when(F.col("t1").isNotNull(), -F.log2(F.col("t1") / (F.col("n1") + F.col("t1")))).otherwise(none)
-    second = F.when(F.col("c1").isNotNull() | F.col("t0").isNull(), none).otherwise(-F.log2(F.coalesce("c0", "t0") / (F.col("n0") + F.col("t0"))))
-    letters = F.when(F.col("c0").isNull() & (F.col("token") != SENTINEL), F.coalesce("spelled", (F.char_length("token") + 1) * F.log2(F.lit(alphabet + 1.0)))).otherwise(none)
-    priced = want.select("model", "kind", "prev", "token", (first + second + letters).alias("bits"))
-    return mine.join(priced, ["kind", "prev", "token"]).groupBy(key, "model").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"), F.sum("n").alias("symbols"))
+    mine = Workspace(df.sparkSession, "words").put(streams(df, [key], text), "tokens")
+    names = [r.model for r in pairs.select("model").distinct().collect()]
+    parts = [_codelengths(mine, key, pairs, characters, names[i : i + ABREAST], order, alphabet) for i in range(0, len(names), ABREAST)]
+    if not parts:
+        return mine.select(key, F.lit(None).cast(pairs.schema["model"].dataType).alias("model"), F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("symbols")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _codelengths(mine: DataFrame, key: str, pairs: DataFrame, characters: DataFrame, names: list, order: int, alphabet: int) -> DataFrame:
+    each, none = range(len(names)), F.lit(0.0)
+    of = lambda i: F.col("model").eqNullSafe(F.lit(names[i]))
+    wide = lambda column, what: [F.sum(F.when(of(i), F.col(column))).alias(f"{what}_{i}") for i in each]
+    own = reduce(Column.__or__, [of(i) for i in each])
+    pairs = pairs.where(own)
+    context = pairs.groupBy("kind", "prev").agg(*wide("n", "n1"), *[F.count(F.when(of(i), 1)).alias(f"t1_{i}") for i in each])
+    single = pairs.groupBy("kind", "token").agg(*wide("n", "c0"))
+    zero = single.groupBy("kind").agg(*[F.sum(f"c0_{i}").alias(f"n0_{i}") for i in each], *[F.count(f"c0_{i}").alias(f"t0_{i}") for i in each])
+    # Pairs that are asked for and pairs that are known meet in one sum.
+    asked = mine.select("kind", "prev", "token", F.lit(True).alias("__asked"), F.lit(None).cast(pairs.schema["model"].dataType).alias("model"), F.lit(None).cast("long").alias("n"))
+    both = asked.unionByName(pairs.select("kind", "prev", "token", F.lit(False).alias("__asked"), "model", "n"))
+    want = both.groupBy("kind", "prev", "token").agg(F.max("__asked").alias("__asked"), *wide("n", "c1")).where("__asked").drop("__asked")
+    # Tokens with the cost of each as a token of no context: its share, or its characters if a model has not seen it.
+    tokens = Workspace(mine.sparkSession, "words").put(mine.select("kind", "token").distinct().join(single, ["kind", "token"], "left"), "vocabulary")
+    new = tokens.where(F.col("token") != SENTINEL).where(reduce(Column.__or__, [F.col(f"c0_{i}").isNull() for i in each]))
+    kinds = characters.where(reduce(Column.__or__, [F.col("model") == F.concat_ws("/", F.lit(m), F.lit(k)) for m in names for k in ("n", "w")]))
+    spelled = ppm.codelengths(new.select("token").distinct(), "token", kinds, order, alphabet, text="token")
+    by = lambda i: F.col("model") == F.concat_ws("/", F.lit(names[i]), "kind")
+    spelled = spelled.withColumn("kind", F.element_at(F.split("model", "/"), -1)).groupBy("kind", "token").agg(*[F.max(F.when(by(i), F.col("bits"))).alias(f"sp_{i}") for i in each])
+    second = []
+    known = tokens.join(spelled, ["kind", "token"], "left").join(small(zero, ppm.LEVEL_ROWS), "kind", "left")
+    for i in each:
+        c0, n0, t0 = (F.col(f"{x}_{i}") for x in ("c0", "n0", "t0"))
+        share = F.when(n0.isNull(), none).otherwise(-F.log2(F.coalesce(c0, t0) / (n0 + t0)))
+        letters = F.when(c0.isNull() & (F.col("token") != SENTINEL), F.coalesce(f"sp_{i}", (F.char_length("token") + 1) * F.log2(F.lit(alphabet + 1.0)))).otherwise(none)
+        second.append((share + letters).alias(f"s_{i}"))
+    want = want.join(small(context, ppm.LEVEL_ROWS), ["kind", "prev"], "left")
+    first = []
+    for i in each:
+        c1, n1, t1 = (F.col(f"{x}_{i}") for x in ("c1", "n1", "t1"))
+        hit = -F.log2(c1 / (n1 + t1))  # below the escape, marked by its sign: a share costs at least 0, an escape is put as -1 - cost
+        first.append(F.when(c1.isNotNull(), hit).when(n1.isNotNull(), -1 + F.log2(t1 / (n1 + t1))).otherwise(F.lit(-1.0)).alias(f"f_{i}"))
+    priced = want.select("kind", "prev", "token", *first).join(known.select("kind", "token", *second), ["kind", "token"])
+    priced = priced.select("kind", "prev", "token", *[F.when(F.col(f"f_{i}") >= 0, F.col(f"f_{i}")).otherwise(-1 - F.col(f"f_{i}") + F.col(f"s_{i}")).alias(f"b_{i}") for i in each])
+    total = mine.join(priced, ["kind", "prev", "token"]).groupBy(key).agg(F.count(F.lit(1)).alias("symbols"), *[F.sum(f"b_{i}").alias(f"b_{i}") for i in each])
+    model = pairs.schema["model"].dataType
+    rows = F.explode(F.array(*[F.struct(F.lit(names[i]).cast(model).alias("model"), F.col(f"b_{i}").alias("bits")) for i in each]))
+    return total.select(key, rows.alias("e"), "symbols").select(key, "e.model", "e.bits", "symbols")

@@ -521,3 +521,18 @@ def test_number_roundtrip_meets_once(spark, sf):
     short = fold.ShortStreams(1, 1 << 20)
     assert all(short.encode(ns) == fold.encode(ns, fold.AdaptivePPM(1, 1 << 20))[0] and short.decode(short.encode(ns)) == ns for ns in [*rows, []])
     assert "Join" not in registry.QUERIES["number_codec"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_word_models_side_by_side(spark, monkeypatch):
+    """Models priced in one row and in turns give the same; no row is made for each model of a pair."""
+    train = spark.createDataFrame([("a", "the cat. The hat 1"), ("b", "a dog, the cat"), (None, "the end"), ("a", None)], "model string, text string")
+    d = spark.createDataFrame([(1, "the cat. zebra 77"), (2, ""), (3, None), (4, "a, a, the dog the"), (4, "cat")], "id long, text string")
+    bundle = word_models.train(train)
+    out = word_models.codelengths(d, "id", bundle)
+    got = {(r.id, r.model): (pytest.approx(r.bits), r.symbols) for r in out.collect()}
+    assert len(got) == 12 and "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    monkeypatch.setattr(word_models, "ABREAST", 1)
+    assert {(r.id, r.model): (r.bits, r.symbols) for r in word_models.codelengths(d, "id", bundle).collect()} == got
+    for m in ("a", "b"):  # a model alone prices as beside others
+        alone = word_models.codelengths(d, "id", word_models.train(train.where(F.col("model") == m)))
+        assert {(r.id, r.model): (r.bits, r.symbols) for r in alone.collect()} == {k: v for k, v in got.items() if k[1] == m}
